@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lotledger.functions.text import grouped_number, matched
+from lotledger.functions.text import matched
 from lotledger.functions.variants import loose_number, member
 
 # Status names and the limits of the end-time field.
@@ -19,25 +19,26 @@ def is_sold_text(text: Column) -> Column:
     return F.startswith(text, F.lit("Sold"))
 
 
-def sale_price(text: Column) -> tuple[Column, Column]:
-    """(price, unreadable) of the first dollar amount."""
-    digits = matched(text, r"\$([\d,]+)")
-    price = grouped_number(digits)
-    return price, digits.isNotNull() & price.isNull()
+def price_digits(text: Column) -> Column:
+    """Digits and commas of the first dollar amount."""
+    return matched(text, r"\$([\d,]+)")
 
 
-def sale_date(text: Column) -> Column:
-    """Midnight of `on M/D/YY` or `on M/D/YYYY`; two-digit years from 69 on are 19xx."""
-    pattern = r"on\s+(\d{1,2})/(\d{1,2})/(\d{2,4})"
-    month, day, shown = (matched(text, pattern, g) for g in (1, 2, 3))
-    number = shown.cast("int")
+def date_parts(text: Column) -> Column:
+    """[month, day, year] of `on M/D/YY` or `on M/D/YYYY`; NULL without a date."""
+    return F.split(matched(text, r"on\s+(\d{1,2}/\d{1,2}/\d{2,4})"), "/")
+
+
+def sale_date(parts: Column) -> Column:
+    """Midnight of that day; two-digit years from 69 on are 19xx, impossible days are NULL."""
+    digits, number = F.length(parts[2]), parts[2].cast("int")
     year = (
-        F.when((F.length(shown) == 2) & (number >= 69), number + 1900)
-        .when(F.length(shown) == 2, number + 2000)
-        .when((F.length(shown) == 4) & (number >= 1), number)
+        F.when((digits == 2) & (number >= 69), number + 1900)
+        .when(digits == 2, number + 2000)
+        .when((digits == 4) & (number >= 1), number)
     )
     zero = F.lit(0)
-    return F.try_make_timestamp(year, month.cast("int"), day.cast("int"), zero, zero, zero)
+    return F.try_make_timestamp(year, parts[0].cast("int"), parts[1].cast("int"), zero, zero, zero)
 
 
 def text_status(text: Column) -> Column:
@@ -60,12 +61,10 @@ def site_status(status: Column) -> Column:
     )
 
 
-def end_time(stamp: Column) -> Column:
-    """Epoch seconds or milliseconds (VARIANT) as a timestamp; NULL unless positive."""
-    raw = loose_number(stamp)
+def end_time(raw: Column) -> Column:
+    """Epoch seconds or milliseconds (bigint) as a timestamp; NULL unless positive."""
     seconds = F.when(raw > MILLISECONDS_ABOVE, F.floor(raw / 1000)).otherwise(raw)
-    usable = (raw > 0) & (seconds <= LAST_SECOND_OF_9999)
-    return F.timestamp_seconds(F.when(usable, seconds))
+    return F.timestamp_seconds(F.when(seconds.between(1, LAST_SECOND_OF_9999), seconds))
 
 
 def iso_end_time(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,20 +78,24 @@ def thousands_mileage(digits: Column) -> Column:
     return (F.replace(digits, F.lit(","), F.lit("")).try_cast("double") * 1000).try_cast("int")
 
 
-def mileage_parts(text: Column, thousands: str, plain: str) -> tuple[Column, Column]:
-    """(miles, unreadable): the `k` form first, then the plain form.
+def mileage_digits(text: Column, thousands: str, plain: str) -> Column:
+    """struct(short, full): the digits of the `k` form and of the plain form."""
+    return F.struct(matched(text, thousands).alias("short"), matched(text, plain).alias("full"))
 
-    `unreadable` marks a match whose digits make no number, such as `,-Mile`.
-    """
-    short, full = matched(text, thousands), matched(text, plain)
-    in_thousands, in_full = thousands_mileage(short), grouped_number(full).try_cast("int")
-    miles = F.when(short.isNotNull(), in_thousands).otherwise(in_full)
-    unreadable = F.coalesce(short, full).isNotNull() & miles.isNull()
-    return miles, unreadable
 
+def title_mileage_digits(title: Column) -> Column:
+    return mileage_digits(title, r"([\d,.]+)k-?[Mm]ile", r"([\d,]+)\s*-?\s*[Mm]ile")
 
-def title_mileage(title: Column) -> tuple[Column, Column]:
-    return mileage_parts(title, r"([\d,.]+)k-?[Mm]ile", r"([\d,]+)\s*-?\s*[Mm]ile")
+
+def miles_of(digits: Column) -> Column:
+    """The `k` form counts first; digits that make no number (`,-Mile`) give NULL."""
+    return F.when(digits["short"].isNotNull(), thousands_mileage(digits["short"])).otherwise(
+        grouped_number(digits["full"]).try_cast("int")
+    )
+
+
+def has_digits(digits: Column) -> Column:
+    return digits["short"].isNotNull() | digits["full"].isNotNull()
 
 
 def color_name(text: Column) -> Column:
@@ -101,56 +103,48 @@ def color_name(text: Column) -> Column:
     return F.initcap(F.regexp_substr(text, F.lit(rf"(?i)\b({'|'.join(COLORS)})\b")))
 
 
-def _starts_with_make(text: Column, make: str) -> Column:
-    return F.startswith(F.lower(text), F.lit(make.lower() + " "))
+def non_car_by_name(readable: Column) -> Column:
+    """Parts, trailers, motorcycles and the like, by an unescaped title."""
+    makes = rf"(?i)^({'|'.join(NON_CAR_MAKES)}) "
+    terms = "(?i)" + "|".join(rf"\b{term}\b" for term in NON_CAR_TERMS)
+    return readable.rlike(makes) | after_year(readable).rlike(makes) | readable.rlike(terms)
 
 
 def is_non_car(title: Column) -> Column:
-    """Parts, trailers, motorcycles and the like."""
-    readable = F.trim(html_unescape(title))
-    makes = [
-        test
-        for make in NON_CAR_MAKES
-        for test in (_starts_with_make(readable, make), _starts_with_make(after_year(readable), make))
-    ]
-    terms = readable.rlike("(?i)" + "|".join(rf"\b{term}\b" for term in NON_CAR_TERMS))
-    return reduce(lambda a, b: a | b, makes, terms)
-
-
-def _make_model_trim(make: Column, rest: Column) -> Column:
-    """`rest` holds the words after the make: the first is the model, others the trim."""
-    return F.struct(
-        make.alias("make"),
-        F.get(rest, 0).alias("model"),
-        blank_to_null(F.array_join(F.slice(rest, F.lit(2), F.size(rest)), " ")).alias("trim"),
-    )
+    return non_car_by_name(F.trim(html_unescape(title)))
 
 
-def _nothing() -> Column:
-    empty = F.lit(None).cast("string")
-    return F.struct(empty.alias("make"), empty.alias("model"), empty.alias("trim"))
+def split_vehicle(tail: Column) -> Column:
+    """struct(make, rest) of the words after the year; `rest` are the words after the make.
 
+    The known two-part makes come first; a one-word make needs at least one word after it.
+    """
+    spelled = F.create_map(*[F.lit(x) for m in TWO_PART_MAKES for x in (m.lower(), m)])
+    known = F.lower(F.regexp_extract(tail, rf"(?i)^({'|'.join(TWO_PART_MAKES)}) ", 1))
+    return F.struct(
+        F.try_element_at(spelled, known).alias("known"),
+        words(tail).alias("words"),
+        words(F.substring(tail, F.length(known) + 1, F.length(tail))).alias("after"),
+    )
 
-def identity_after_year(title: Column) -> Column:
-    """make/model/trim from the words after the year, with the known two-part makes."""
-    tail = after_year(title)
-    all_words = words(tail)
-    one_word_make = F.when(
-        F.size(all_words) >= 2, _make_model_trim(all_words[0], F.slice(all_words, F.lit(2), F.size(all_words)))
-    ).otherwise(_nothing())
-    chain = F.when(model_year(title).isNull(), _nothing())
-    for make in TWO_PART_MAKES:
-        rest = words(F.substring(tail, F.lit(len(make) + 1), F.length(tail)))
-        chain = chain.when(_starts_with_make(tail, make), _make_model_trim(F.lit(make), rest))
-    return chain.otherwise(one_word_make)
+
+def make_model_trim(parts: Column) -> Column:
+    """struct(make, model, trim) from `split_vehicle`."""
+    known, plain = parts["known"], parts["words"]
+    rest = F.when(known.isNotNull(), parts["after"]).otherwise(F.slice(plain, F.lit(2), F.size(plain)))
+    named = known.isNotNull() | (F.size(plain) >= 2)
+    return F.struct(
+        F.coalesce(known, F.when(named, F.get(plain, F.lit(0)))).alias("make"),
+        F.when(named, F.get(rest, F.lit(0))).alias("model"),
+        F.when(named, blank_to_null(F.array_join(F.slice(rest, F.lit(2), F.size(rest)), " "))).alias("trim"),
+    )
 
 
-def identity_without_year(title: Column) -> Column:
-    """make/model/trim once a leading year is removed; the make is one word."""
-    all_words = words(F.regexp_replace(title, LEADING_YEAR, ""))
-    return F.when(
-        F.size(all_words) >= 2, _make_model_trim(all_words[0], F.slice(all_words, F.lit(2), F.size(all_words)))
-    ).otherwise(_nothing())
+def words_without_year(title: Column) -> Column:
+    """`split_vehicle` for titles with a leading year and one-word makes only."""
+    plain = words(F.regexp_replace(title, LEADING_YEAR, ""))
+    nothing = F.lit(None).cast("string")
+    return F.struct(nothing.alias("known"), plain.alias("words"), plain.alias("after"))
 
 
 def display_name(title: Column, *parts: Column) -> Column:

@@ -20,95 +20,67 @@ def kind(value: Column) -> Column:
 
 
 def is_text(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
-
-
-def is_number(value: Column) -> Column:
-    return F.coalesce(
-        kind(value).isin("BIGINT", "DOUBLE", "FLOAT") | kind(value).startswith("DECIMAL"),
-        F.lit(False),
-    )
+    return value.isNotNull() & (kind(value) == "STRING")
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    return value.isNotNull() & F.startswith(kind(value), F.lit("OBJECT"))
 
 
 def is_null(value: Column) -> Column:
     """Absent or JSON null."""
-    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
+    return value.isNull() | (F.to_json(value) == "null")
 
 
 def as_text(value: Column) -> Column:
     """The text itself; NULL for any other kind."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def filled_text(value: Column) -> Column:
     """Like `as_text`, with the empty text as NULL."""
-    text = as_text(value)
-    return F.when(text != "", text)
+    return F.nullif(as_text(value), F.lit(""))
 
 
 def is_truthy(value: Column) -> Column:
     """Neither null, false, zero, empty text, empty list nor empty object."""
-    return F.coalesce(
-        F.when(is_null(value), False)
-        .when(is_text(value), F.try_variant_get(value, "$", "string") != "")
-        .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(is_number(value), F.try_variant_get(value, "$", "double") != 0)
-        .otherwise(~F.to_json(value).isin("[]", "{}")),
-        F.lit(False),
-    )
+    empty = ["null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"]
+    return value.isNotNull() & ~F.to_json(value).isin(empty)
 
 
 def elements(value: Column) -> Column:
     """The list members as array<variant>; an empty array for any other kind."""
-    listed = F.when(
-        F.coalesce(kind(value).startswith("ARRAY"), F.lit(False)),
-        F.try_variant_get(value, "$", "array<variant>"),
-    )
+    listed = F.when(F.startswith(kind(value), F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>"))
     return F.coalesce(listed, F.array().cast("array<variant>"))
 
 
-def _number(value: Column) -> Column:
-    return (
-        F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-        .when(is_number(value), F.try_variant_get(value, "$", "double").cast("bigint"))
-        .when(
-            kind(value) == "BOOLEAN",
-            F.try_variant_get(value, "$", "boolean").cast("int").cast("bigint"),
-        )
-    )
-
-
 def first_digits(text: Column) -> Column:
     """First run of digits with thousands commas, as a number; NULL without one."""
     digits = F.regexp_substr(text, F.lit(r"\d[\d,]*"))
-    return _to_long(F.replace(digits, F.lit(","), F.lit("")))
+    return F.replace(digits, F.lit(","), F.lit("")).try_cast("bigint")
 
 
-def _to_long(text: Column) -> Column:
-    return text.try_cast("bigint")
+def _scalar(value: Column, of_text: Column, kind_name: str) -> Column:
+    """`of_text` for a text; numbers and booleans converted; NULL for lists and objects."""
+    return F.when(kind(value) == "STRING", of_text).when(
+        ~kind(value).rlike("^(ARRAY|OBJECT|VOID)"), F.try_variant_get(value, "$", kind_name)
+    )
 
 
 def loose_number(value: Column) -> Column:
     """Whole number from a number or from the first digits of a text."""
-    return F.coalesce(_number(value), first_digits(as_text(value)))
+    return _scalar(value, first_digits(F.try_variant_get(value, "$", "string")), "bigint")
 
 
 def strict_number(value: Column) -> Column:
     """Whole number from a number or from a text that is nothing but a number."""
-    return F.coalesce(_number(value), _to_long(F.trim(as_text(value))))
+    text = F.try_variant_get(value, "$", "string")
+    return _scalar(value, F.trim(text).try_cast("bigint"), "bigint")
 
 
 def plain_text(value: Column) -> Column:
     """Text of a scalar: the text, `true`/`false`, or the digits; NULL otherwise."""
-    return (
-        F.when(is_text(value), filled_text(value))
-        .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "string"))
-        .when(is_number(value), F.try_variant_get(value, "$", "string"))
-    )
+    return _scalar(value, F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")), "string")
 
 
 def json_or_null(value: Column) -> Column:

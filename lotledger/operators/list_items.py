@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.functions import images, sales, titles
+from lotledger.functions.text import grouped_number, html_unescape
 from lotledger.functions.variants import (
     as_text,
     filled_text,
@@ -14,6 +15,7 @@ from lotledger.functions.variants import (
     is_text,
     is_truthy,
     json_or_null,
+    loose_number,
     member,
     plain_text,
     strict_number,
@@ -46,29 +48,40 @@ def first_site_lots(items: DataFrame) -> DataFrame:
     df = _with_fields(
         items, ["title", "url", "sold_text", "current_bid", "timestamp_end", "id", "country", "excerpt", "noreserve"]
     )
-    price, price_unreadable = sales.sale_price(F.col("_text"))
-    df = df.withColumns({"_name": as_text(F.col("_title")), "_link": filled_text(F.col("_url"))})
     df = df.withColumns(
         {
+            "_name": as_text(F.col("_title")),
+            "_link": filled_text(F.col("_url")),
             # An absent sale text counts as an empty one; any other kind is unusable.
             "_text": F.when(F.col("_sold_text").isNull(), "").otherwise(as_text(F.col("_sold_text"))),
-            "_non_car": titles.is_non_car(F.col("_name")),
+            "_stamp": loose_number(F.col("_timestamp_end")),
+            "_bid": loose_number(F.col("_current_bid")),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_readable": F.trim(html_unescape(F.col("_name"))),
             "_year": titles.model_year(F.col("_name")),
+            "_tail": titles.after_year(F.col("_name")),
+            "_digits": titles.title_mileage_digits(F.col("_name")),
+            "_price_digits": sales.price_digits(F.col("_text")),
+            "_date": sales.date_parts(F.col("_text")),
         }
     )
-    miles, miles_unreadable = titles.title_mileage(F.col("_name"))
     df = df.withColumns(
         {
-            "_price": price,
-            "_bad_price": price_unreadable,
-            "_miles": miles,
-            "_bad_miles": miles_unreadable,
-            "_ended": F.coalesce(
-                sales.end_time(F.col("_timestamp_end")), sales.sale_date(F.col("_text"))
-            ),
-            "_identity": titles.identity_after_year(F.col("_name")),
+            "_non_car": titles.non_car_by_name(F.col("_readable")),
+            "_price": grouped_number(F.col("_price_digits")),
+            "_miles": titles.miles_of(F.col("_digits")),
+            "_ended": F.coalesce(sales.end_time(F.col("_stamp")), sales.sale_date(F.col("_date"))),
+            "_parts": titles.split_vehicle(F.col("_tail")),
         }
     )
+    df = df.withColumn(
+        "_identity", F.when(F.col("_year").isNotNull(), titles.make_model_trim(F.col("_parts")))
+    )
+    bad_price = F.col("_price_digits").isNotNull() & F.col("_price").isNull()
+    bad_miles = titles.has_digits(F.col("_digits")) & F.col("_miles").isNull()
     reason = (
         F.when(~is_object(F.col("item")), PARSE_ERROR)
         .when(~is_truthy(F.col("_title")), "no_title")
@@ -77,23 +90,22 @@ def first_site_lots(items: DataFrame) -> DataFrame:
         .when(~is_truthy(F.col("_url")), "no_url")
         .when(F.col("_link").isNull(), PARSE_ERROR)
         .when(F.col("_year").isNull(), "no_year")
-        .when(F.col("_text").isNull() | F.col("_bad_price"), PARSE_ERROR)
+        .when(F.col("_text").isNull() | bad_price, PARSE_ERROR)
         .when(F.col("_price").isNull() | (F.col("_price") <= 0), "no_price")
         .when(F.col("_ended").isNull(), "no_end_date")
-        .when(F.col("_bad_miles"), PARSE_ERROR)
+        .when(bad_miles, PARSE_ERROR)
     )
-    bid = sales.loose_number(F.col("_current_bid"))
     lot = packed(
         RECORD_FIELDS,
         {
             "source": F.lit(FIRST_SITE),
             "source_auction_id": F.when(
-                ~is_null(F.col("_id")), F.coalesce(plain_text(F.col("_id")), F.to_json(F.col("_id")))
+                ~is_null(F.col("_id")), F.coalesce(F.try_variant_get(F.col("_id"), "$", "string"), F.to_json(F.col("_id")))
             ),
             "canonical_url": F.col("_link"),
             "auction_status": sales.text_status(F.col("_text")),
             "sold_price": F.when(sales.is_sold_text(F.col("_text")), F.col("_price")).try_cast("int"),
-            "high_bid": F.coalesce(F.when(bid != 0, bid), F.col("_price")).try_cast("int"),
+            "high_bid": F.coalesce(F.nullif(F.col("_bid"), F.lit(0).cast("long")), F.col("_price")).try_cast("int"),
             "bid_count": sales.first_bid_count(F.col("item")).try_cast("int"),
             "currency": F.lit("USD"),
             "ended_at": F.col("_ended"),
@@ -157,9 +169,10 @@ def second_site_lots(items: DataFrame, observed_at: Column) -> DataFrame:
         {
             "_year": titles.model_year(F.col("_name")),
             "_high": F.coalesce(F.when(F.col("_bid") != 0, F.col("_bid")), F.col("_sale")),
-            "_identity": titles.identity_without_year(F.col("_name")),
+            "_parts": titles.words_without_year(F.col("_name")),
         }
     )
+    df = df.withColumn("_identity", titles.make_model_trim(F.col("_parts")))
     sold = F.col("_state") == sales.SOLD
 
     def missing(amount: str) -> Column:

@@ -16,9 +16,9 @@ from lotledger import build_session  # noqa: E402
 
 def main(folder: str, parts: list[str]) -> int:
     spark = build_session(
-        master="local[8]", spark_sql_shuffle_partitions="8", spark_driver_memory="8g", spark_ui_enabled="false"
+        master="local[8]", spark_sql_shuffle_partitions="8", spark_driver_memory="8g", spark_ui_enabled="false", spark_ui_showConsoleProgress="false"
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     sql, bad = entry.oracle_sql(), 0
     for name, build in entry.queries().items():
         if parts and not any(p in name for p in parts):
