@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.functions import images, sales, titles
+from lotledger.functions.barriers import computed_once
 from lotledger.functions.text import grouped_number, html_unescape
 from lotledger.functions.variants import (
     as_text,
@@ -32,9 +33,8 @@ def _with_fields(items: DataFrame, names: list[str]) -> DataFrame:
 
 def _finish(df: DataFrame, keep: list[str], reason: Column, lot: Column) -> DataFrame:
     judged = df.withColumn("skip_reason", reason)
-    return judged.select(
-        *keep, "skip_reason", F.when(F.col("skip_reason").isNull(), lot).alias("lot")
-    )
+    found = F.when(F.col("skip_reason").isNull(), lot)
+    return computed_once(judged, keep, skip_reason=F.col("skip_reason"), lot=found)
 
 
 def first_site_lots(items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotledger.functions.barriers import computed_once
 from lotledger.functions.variants import elements, is_truthy, loose_number, member
 from lotledger.schemas import RESULTS_API
 
@@ -23,7 +24,7 @@ def with_payload(pages: DataFrame) -> DataFrame:
     """
     json_page = F.coalesce(is_json_page(F.col("content_type"), F.col("target_type")), F.lit(False))
     text = F.when(json_page, F.col("content")).otherwise(F.regexp_extract("content", EMBEDDED, 1))
-    return pages.withColumns({"payload": F.try_parse_json(text), "is_json": json_page})
+    return computed_once(pages, pages.columns, payload=F.try_parse_json(text), is_json=json_page)
 
 
 def exploded_items(pages: DataFrame, field: str = "items") -> DataFrame:
@@ -43,15 +44,15 @@ def with_paging(pages: DataFrame) -> DataFrame:
         return loose_number(member(payload, name)).try_cast("int")
 
     base = member(payload, "base_filter")
-    return pages.withColumns(
-        {
-            "items_total": number("items_total"),
-            "items_per_page": number("items_per_page"),
-            "page_current": number("page_current"),
-            "pages_total": F.coalesce(F.nullif(number("pages_total"), F.lit(0)), F.lit(1)),
-            "base_filter": F.when(~F.col("is_json") & is_truthy(base), F.to_json(base)).otherwise("{}"),
-            "item_count": F.size(elements(member(payload, "items"))),
-        }
+    return computed_once(
+        pages,
+        pages.columns,
+        items_total=number("items_total"),
+        items_per_page=number("items_per_page"),
+        page_current=number("page_current"),
+        pages_total=F.coalesce(F.nullif(number("pages_total"), F.lit(0)), F.lit(1)),
+        base_filter=F.when(~F.col("is_json") & is_truthy(base), F.to_json(base)).otherwise("{}"),
+        item_count=F.size(elements(member(payload, "items"))),
     )
 
 
