@@ -7,17 +7,18 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whitespace as in Unicode, so that a no-break space counts as well.
 SPACES = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape_each(lists: pd.Series) -> pd.Series:
     return lists.map(
         lambda values: [None if v is None else unescape(v) for v in values], na_action="ignore"

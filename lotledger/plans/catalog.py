@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lotledger.plans.registry import Query
 
-MODULES = ["market_queries", "ingest_queries"]
+MODULES = ["market_queries", "ingest_queries", "operations_queries"]
 
 
 def _merged(part: str) -> dict:

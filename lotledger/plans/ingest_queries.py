@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotledger.functions import urls
 from lotledger.functions.identifiers import is_vin
-from lotledger.functions.maps import empty_map, text_fragment, to_object
+from lotledger.functions.maps import text_fragment, to_object
 from lotledger.functions.text import visible_text
 from lotledger.operators import detail_pages, list_items, market, paging, quality, tallies, targets, upsert
 from lotledger.operators.filters import equal_to, keep, raw_page_predicates
@@ -706,7 +706,9 @@ def _replayed(spark, folder):
     no_lots = spark.createDataFrame([], ", ".join(f"`{k}` {v}" for k, v in LOT_FIELDS.items()))
     no_links = spark.createDataFrame([], "raw_page_id string, lot_id string, relationship_type string")
     no_targets = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in TARGET_FIELDS.items()))
-    return replay.parse_list_pages(pages, no_lots, no_links, no_targets, F.lit("2026-01-01").cast("timestamp"))
+    loaded = replay.load_list_pages(pages)
+    now = F.lit("2026-01-01").cast("timestamp")
+    return replay.parse_list_pages(loaded, replay.parse_items(loaded), no_lots, no_links, no_targets, now)
 
 
 _PAGE_ID = "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', strftime(l_shipdate, '%Y%m%d'))"
@@ -757,5 +759,3 @@ def _(spark, folder):
     rows = observed.lots(spark, folder, vehicle=False)
     return camel_json(rows.select("id", "source_auction_id", "auction_status", "sold_price", "high_bid"))
 
-
-__all__ = ["REGISTRY", "empty_map"]

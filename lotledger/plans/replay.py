@@ -56,15 +56,26 @@ def _parse_runs(pages: DataFrame, parser: tuple[str, str], version: str | None,
     )
 
 
+def load_list_pages(pages: DataFrame) -> DataFrame:
+    """Result pages with paging data and `readable` (false for a JSON page that is none)."""
+    loaded = with_paging(with_payload(list_pages(pages).withColumnRenamed("id", "raw_page_id")))
+    return loaded.withColumn("readable", ~(F.col("is_json") & F.col("payload").isNull()))
+
+
+def parse_items(loaded: DataFrame) -> DataFrame:
+    """The items of loaded pages, each as a lot or with its skip reason."""
+    return list_items.first_site_lots(exploded_items(loaded.select("raw_page_id", "fetched_at", "payload")))
+
+
 def parse_list_pages(
-    pages: DataFrame, lots: DataFrame, known_links: DataFrame, known_targets: DataFrame, now: Column,
-    version: str | None = None,
+    loaded: DataFrame, parsed: DataFrame, lots: DataFrame, known_links: DataFrame, known_targets: DataFrame,
+    now: Column, version: str | None = None,
 ) -> Parsed:
-    """Result pages to lots, links, detail targets and the targets of the remaining pages."""
-    named = list_pages(pages).withColumnRenamed("id", "raw_page_id")
-    loaded = with_payload(named)
-    items = exploded_items(loaded.select("raw_page_id", "fetched_at", "payload"))
-    parsed = list_items.first_site_lots(items)
+    """Result pages to lots, links, detail targets and the targets of the remaining pages.
+
+    `loaded` and `parsed` come from `load_list_pages` and `parse_items`; a job that writes
+    several of the results keeps them in between, so that no page is parsed twice.
+    """
     records = list_items.accepted(parsed).withColumn("ord", _page_order(F.col("pos")))
     merged = upsert.upsert_lots(lots, records.select(*RECORD_FIELDS, "ord"), now)
 
@@ -76,11 +87,8 @@ def parse_list_pages(
     ).where(F.col("_id").eqNullSafe(F.nullif(F.col("source_auction_id"), F.lit(""))))
     links = placed.select("raw_page_id", "lot_id", F.lit("list").alias("relationship_type"))
 
-    paging = with_paging(loaded)
     found = targets.detail_targets(records).unionByName(
-        targets.result_page_targets(
-            paging.withColumn("ord", _page_order(F.lit(1_000_000_000)))
-        )
+        targets.result_page_targets(loaded.withColumn("ord", _page_order(F.lit(1_000_000_000))))
     )
     queued = targets.enqueue(known_targets, found, now)
 
@@ -90,14 +98,13 @@ def parse_list_pages(
         F.count(F.lit(1)).alias("targets_discovered")
     )
     counts = counters.join(discovered, "raw_page_id", "full")
-    unreadable = F.col("is_json") & F.col("payload").isNull()
     rejects = list_items.rejected(parsed)
     return Parsed(
         lots=merged.lots,
         links=provenance.missing_links(known_links, links),
         targets=queued,
         parse_runs=_parse_runs(
-            loaded.select("raw_page_id", "is_json", "payload"), LIST_PARSER, version, counts, unreadable, now
+            loaded.select("raw_page_id", "readable"), LIST_PARSER, version, counts, ~F.col("readable"), now
         ),
         rejects=rejects,
         conflicts=merged.conflicts,
@@ -105,17 +112,24 @@ def parse_list_pages(
     )
 
 
-def parse_detail_pages(
-    pages: DataFrame, lots: DataFrame, known_links: DataFrame, now: Column, version: str | None = None
-) -> Parsed:
-    """Detail pages onto the stored lots they belong to."""
-    stored = detail_pages_of(pages)
-    matched, ambiguous = provenance.match_detail_pages(stored, lots)
+def read_detail_pages(pages: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matched detail pages with their payload, pages that fit several lots)."""
+    matched, ambiguous = provenance.match_detail_pages(detail_pages_of(pages), lots)
     page_columns = matched.select(
         F.col("id").alias("raw_page_id"), "lot_id", "fetched_at", F.col("content").alias("html"),
         F.col("url").alias("page_url"),
     )
-    read = detail_pages.detail_payload(page_columns)
+    rejects = ambiguous.select(
+        F.col("id").alias("raw_page_id"), "url", F.lit("fits_several_lots").alias("skip_reason")
+    )
+    return detail_pages.detail_payload(page_columns), rejects
+
+
+def parse_detail_pages(
+    pages: DataFrame, read: DataFrame, rejects: DataFrame, lots: DataFrame, known_links: DataFrame, now: Column,
+    version: str | None = None,
+) -> Parsed:
+    """Detail pages onto the stored lots they belong to (`read` from `read_detail_pages`)."""
     together = read.join(lots.select(F.col("id").alias("lot_id"), *RECORD_FIELDS), "lot_id")
     enriched = detail_pages.enriched_lots(together)
     records = enriched.withColumn("ord", _page_order(F.lit(0)))
@@ -125,7 +139,7 @@ def parse_detail_pages(
         F.count(F.lit(1)).alias("records_found"), F.count(F.lit(1)).alias("records_updated")
     )
     failed = read.where("detail_error").select("raw_page_id", F.lit(True).alias("_failed"))
-    shown = stored.select(F.col("id").alias("raw_page_id")).join(failed, "raw_page_id", "left")
+    shown = detail_pages_of(pages).select(F.col("id").alias("raw_page_id")).join(failed, "raw_page_id", "left")
     spark = pages.sparkSession
     no_targets = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in TARGET_FIELDS.items()))
     return Parsed(
@@ -135,9 +149,7 @@ def parse_detail_pages(
         parse_runs=_parse_runs(
             shown, DETAIL_PARSER, version, counts, F.coalesce("_failed", F.lit(False)), now
         ),
-        rejects=ambiguous.select(
-            F.col("id").alias("raw_page_id"), "url", F.lit("fits_several_lots").alias("skip_reason")
-        ),
+        rejects=rejects,
         conflicts=merged.conflicts,
         anomalies=quality.unreadable_details(read.withColumnRenamed("page_url", "url")),
     )

@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs over the same transformations as the batch ones."""
