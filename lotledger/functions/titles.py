@@ -106,7 +106,7 @@ def color_name(text: Column) -> Column:
 def non_car_by_name(readable: Column) -> Column:
     """Parts, trailers, motorcycles and the like, by an unescaped title."""
     makes = rf"(?i)^({'|'.join(NON_CAR_MAKES)}) "
-    terms = "(?i)" + "|".join(rf"\b{term}\b" for term in NON_CAR_TERMS)
+    terms = rf"(?i)\b({'|'.join(NON_CAR_TERMS)})\b"
     return readable.rlike(makes) | after_year(readable).rlike(makes) | readable.rlike(terms)
 
 

@@ -29,7 +29,7 @@ def is_object(value: Column) -> Column:
 
 def is_null(value: Column) -> Column:
     """Absent or JSON null."""
-    return value.isNull() | (F.to_json(value) == "null")
+    return value.isNull() | (kind(value) == "VOID")
 
 
 def as_text(value: Column) -> Column:
@@ -44,8 +44,11 @@ def filled_text(value: Column) -> Column:
 
 def is_truthy(value: Column) -> Column:
     """Neither null, false, zero, empty text, empty list nor empty object."""
-    empty = ["null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"]
-    return value.isNotNull() & ~F.to_json(value).isin(empty)
+    empty = ["null", "false", "0", "0.0", "-0.0", "[]", "{}"]
+    filled = F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string") != "").otherwise(
+        ~F.to_json(value).isin(empty)
+    )
+    return value.isNotNull() & filled
 
 
 def elements(value: Column) -> Column:
