@@ -13,5 +13,7 @@ def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFram
     expression copied into it; for the wide extraction columns the copies grow beyond any
     useful plan. A generator over a single row stops that and costs next to nothing.
     """
-    made = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*keep, F.inline(F.array(made)))
+    made = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    # Two steps: the projection is compiled, the generator only unpacks its result. The outer
+    # form keeps the optimizer from adding a filter on the array's size.
+    return df.select(*keep, made.alias("_made")).select(*keep, F.inline_outer("_made"))
