@@ -71,25 +71,28 @@ def _days_before(anchor: Column, days: int) -> Column:
 def market_summary(lots: DataFrame, windows: tuple[int, ...] = MOVEMENT_DAYS) -> DataFrame:
     """KPI row: counts, median/average/low/high price, average mileage, sell-through, movement.
 
-    Rows are first reduced to (age band, price) with their number; all figures come from that
-    table. The age bands are cut at N and 2N days before the latest priced end time, so every
-    movement window is a union of bands.
+    Two passes: one for the totals and the latest priced end time (a scalar subquery that is
+    run once), one that reduces the priced rows to (age band, price) with their number. The
+    bands are cut at N and 2N days before that time, so every movement window is a union of
+    bands and all price figures come from the reduced table.
     """
     slim = lots.select("sold_price", "mileage", "ended_at")
-    anchor = slim.where(F.col("sold_price").isNotNull()).agg(F.max("ended_at")).scalar()
+    totals = slim.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.count("mileage").alias("mileage_n"),
+            F.sum(F.col("mileage").cast("long")).alias("mileage_total"),
+            F.max(F.when(F.col("sold_price").isNotNull(), F.col("ended_at"))).alias("anchor"),
+        ).alias("totals")
+    ).scalar()
     edges = sorted({n * k for n in windows for k in (1, 2)})
     band = F.lit(None).cast("int")
     for i, days in reversed(list(enumerate(edges))):
-        band = F.when(F.col("ended_at") >= _days_before(anchor, days), i).otherwise(band)
-    reduced = slim.groupBy(band.alias("band"), "sold_price").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("mileage").alias("mileage_n"),
-        F.sum(F.col("mileage").cast("long")).alias("mileage_total"),
-    )
-    totals = reduced.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"),
-        F.sum("mileage_total").alias("mileage_total"),
-        F.sum("mileage_n").alias("mileage_n"),
+        band = F.when(F.col("ended_at") >= _days_before(totals["anchor"], days), i).otherwise(band)
+    reduced = (
+        slim.where(F.col("sold_price").isNotNull())
+        .groupBy(band.alias("band"), "sold_price")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
     def members(low: int, high: int) -> list[int]:
@@ -104,30 +107,26 @@ def market_summary(lots: DataFrame, windows: tuple[int, ...] = MOVEMENT_DAYS) ->
         F.array(*[F.when(test, F.lit(label)) for label, test in samples]), lambda s: s.isNotNull()
     )
     counts = (
-        reduced.where(F.col("sold_price").isNotNull())
-        .select(F.explode(labels).alias("sample"), "sold_price", "n")
+        reduced.select(F.explode(labels).alias("sample"), "sold_price", "n")
         .groupBy("sample", "sold_price")
         .agg(F.sum("n").alias("n"))
     )
-    stats = profile(counts, ["sample"], "sold_price")
     everything = F.col("sample") == "all"
-    medians = stats.agg(
+    stats = profile(counts, ["sample"], "sold_price").agg(
         *[F.max(F.when(everything, F.col(c))).alias(c) for c in ("n", "total", "lowest", "highest", "median")],
         *[F.max(F.when(F.col("sample") == s, whole(F.col("median")))).alias(s) for s, _ in samples[1:]],
     )
-    both = totals.unionByName(medians, allowMissingColumns=True)
-    joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
-    return joined.select(
-        "total_count",
-        F.coalesce("n", F.lit(0)).cast("long").alias("sold_count"),
+    sold = F.coalesce("n", F.lit(0)).cast("long")
+    mileage_n = totals["mileage_n"]
+    return stats.select(
+        totals["rows"].alias("total_count"),
+        sold.alias("sold_count"),
         whole(F.col("median")).alias("median_sale_price"),
         whole(F.col("total") / F.col("n")).alias("average_sale_price"),
         F.col("lowest").alias("low_sale_price"),
         F.col("highest").alias("high_sale_price"),
-        whole(F.when(F.col("mileage_n") > 0, F.col("mileage_total") / F.col("mileage_n"))).alias(
-            "average_mileage"
-        ),
-        ratio(F.coalesce("n", F.lit(0)), F.col("total_count"), 3).alias("sell_through_rate"),
+        whole(F.when(mileage_n > 0, totals["mileage_total"] / mileage_n)).alias("average_mileage"),
+        ratio(sold, totals["rows"], 3).alias("sell_through_rate"),
         *[
             percent_change(F.col(f"now_{n}"), F.col(f"before_{n}")).alias(f"movement_{n}_day")
             for n in windows
