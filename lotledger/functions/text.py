@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from html import unescape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The functions below travel to the Python workers as code, so that these need not have the
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Whitespace as in Unicode, so that a no-break space counts as well.
 SPACES = r"(?U)\s+"
 
