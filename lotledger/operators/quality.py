@@ -1,4 +1,7 @@
-"""Data-quality rules. Every rule yields anomaly rows; `all_anomalies` unites them."""
+"""Data-quality rules. Every rule yields anomaly rows; `all_anomalies` unites them.
+
+Codes, severities and message wording are fixed values of the anomaly table.
+"""
 
 from __future__ import annotations
 

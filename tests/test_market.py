@@ -136,3 +136,18 @@ def test_images_and_details(spark, lots):
     detail = market.lot_details(market.by_id(with_images, "1")).first()
     assert [i.image_url for i in detail.images] == ["a", "", "b", "a"] and detail.images[2].position == 2
     assert market.by_id(lots, "none").count() == 0
+
+
+def test_filters_and_columns_reach_the_scan(spark, odd, tmp_path):
+    folder = str(tmp_path / "lots")
+    odd.write.parquet(folder)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    wanted = market_predicates(make="Audi,Lotus", year_min=1990, ended_from=date(2025, 1, 1), only_sold=True)
+    history = market.price_history(keep(spark.read.parquet(folder), wanted))
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("In(make, [Audi,Lotus])", "GreaterThanOrEqual(year,1990)", "EqualTo(auction_status,sold)",
+                   "IsNotNull(sold_price)", "GreaterThanOrEqual(ended_at,"):
+        assert pushed in plan, pushed
+    schema = plan.split("ReadSchema: ")[1].split(">")[0]
+    assert "title" not in schema and "detail_html" not in schema
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from samples import DETAIL_PAGE, LIST_ITEM, result_html
 
-from lotledger.schemas import RAW_PAGE_FIELDS, REQUEST_LOG_FIELDS, ddl, shaped
+from lotledger.schemas import REQUEST_LOG_FIELDS, shaped
 from lotledger.sources.raw_pages import register_pages
 from lotledger.streaming import feed
 from lotledger.streaming.ingest import Store, current_targets, ingest_pages, start_ingest, stored_lots
