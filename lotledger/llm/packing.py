@@ -28,10 +28,23 @@ from lotledger.llm.tables import ship, slices, stored, texts_of, worker_cache
 
 ship(__name__)
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Codes(dict):
+    """Numbers words as they come; `new` holds those not seen before."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word: bytes | None) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
     """Ids of words, each word encoded once. Words are runs without ASCII white space, which the tokenizer drops."""
 
@@ -41,38 +54,69 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.end = end
+        self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict = {None: 0}
+        self.code = Codes()
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.flat = np.array([self.end], np.uint32)
+        self.code[None] = 0
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has.
+
+        Many words of letters, with one sign behind or without, are encoded as one text: the tokenizer splits between letters
+        and signs, so the number of end-of-word ids of each is known. If the numbers don't meet, words are encoded one by one.
+        """
+        plain = [w.decode() for w in words]
+        parts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in ".,;:!?" else 0 for w in plain]
+        many = np.flatnonzero(parts)
+        ids = np.fromiter(
+            itertools.chain.from_iterable(self._encoded([" ".join(plain[k] for k in many[i : i + 512]) for i in range(0, len(many), 512)])), np.uint32
+        )
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        last = np.cumsum(np.array(parts)[many])
+        if len(stops) != (last[-1] if len(last) else 0):
+            many, ids, stops, last = many[:0], ids[:0], stops[:0], last[:0]
+        one = np.setdiff1d(np.arange(len(words)), many)
+        singly = self._encoded([plain[k] for k in one])
+        lengths = np.zeros(len(words), np.int64)
+        lengths[many] = np.diff(stops[last - 1], prepend=0)
+        lengths[one] = [len(x) for x in singly]
+        out = np.empty(int(lengths.sum()), np.uint32)
+        joint = np.zeros(len(words), bool)
+        joint[many] = True
+        inside = np.repeat(joint, lengths)
+        out[inside] = ids
+        out[~inside] = np.fromiter(itertools.chain.from_iterable(singly), np.uint32)
+        return out, lengths
 
     def learn(self, words: list[bytes]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        first = len(self.code)
-        self.code.update(zip(words, range(first, first + len(words)), strict=True))
+        flat, lengths = self._ids(words)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end, and where each text begins, with the end."""
+        if len(self.code) > CACHED_WORDS:
+            self.clear()
         words: list = []
         stops = []
         for text in texts:
+            if text.isascii() and b"<|" not in text:  # the tokenizer lowers them as well
+                text = text.lower()
             words += text.split()
             words.append(None)
             stops.append(len(words))
-        unknown = set(words).difference(self.code)
-        if unknown:
-            if len(self.code) + len(unknown) > CACHED_WORDS:
-                self.clear()
-                unknown = set(words).difference(self.code)
-            self.learn(sorted(unknown))
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.new:
+            self.learn(self.code.new)
+            self.code.new = []
         lengths = self.lengths[codes]
         after = np.cumsum(lengths)
         places = np.repeat(self.starts[codes] - (after - lengths), lengths)
