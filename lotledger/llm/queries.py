@@ -6,12 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotledger.llm import chat, packing, topk
+from lotledger.llm import chat, fingerprints, near_dedup, packing, substring_dedup, topk, toxicity
 from lotledger.llm.tables import table
 from lotledger.plans.registry import Registry
 
 REGISTRY = Registry()
 
+
+@REGISTRY.query("op2_bottomk_near_dedup")
+def op2_bottomk_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, folder, "documents"))
+
+
+@REGISTRY.query("op3_minhash_fingerprints")
+def op3_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_and_next(table(spark, folder, "documents"))
+
+
 CHAT_SQL = """
 with escaped as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -76,6 +87,19 @@ def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+@REGISTRY.query("op8_countmin_substring_dedup")
+def op8_countmin_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, folder, "documents"))
+
+
+@REGISTRY.query("op9_pu_toxicity")
+def op9_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    score = F.col(toxicity.SCORE)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 @REGISTRY.query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
