@@ -6,13 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotledger.llm import chat, fingerprints, near_dedup, packing, substring_dedup, topk, toxicity
+from lotledger.llm import bpe, chat, fingerprints, katz, near_dedup, packing, substring_dedup, topk, toxicity
 from lotledger.llm.tables import table
 from lotledger.plans.registry import Registry
 
 REGISTRY = Registry()
 
 
+@REGISTRY.query("op1_duckdb_bpe")
+def op1_duckdb_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), *vocabulary), *vocabulary)
+
+
+@REGISTRY.query("op4_katz_scoring")
+def op4_katz_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score(table(spark, folder, "documents"))
+
+
 @REGISTRY.query("op2_bottomk_near_dedup")
 def op2_bottomk_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, folder, "documents"))

@@ -59,12 +59,24 @@ def rows_of(batch: pa.RecordBatch | pa.Table, k: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(own.flatten(), [f.name for f in own.type])
 
 
+def planes(values: np.ndarray, width: int | None = None) -> bytes:
+    """The bytes of numbers, all first bytes, then all second ones, and so on: small numbers compress well. width: lower bytes only."""
+    size = values.dtype.itemsize
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T[: width or size].tobytes()
+
+
+def unplanes(data: bytes, kind: type, width: int | None = None) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    own = np.frombuffer(data, np.uint8).reshape(width or size, -1)
+    out = np.zeros((own.shape[1], size), np.uint8)
+    out[:, : len(own)] = own.T
+    return out.view(kind).ravel()
+
+
 def packed(ascending: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as byte planes of their differences, which compress well in shuffle files."""
-    steps = np.diff(ascending.astype(np.uint64), prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Ascending 64-bit numbers as byte planes of their differences."""
+    return planes(np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
