@@ -1,4 +1,9 @@
-"""Training data out of `documents`: toxic texts go, near copies go, repeated passages go, the rest is packed."""
+"""Training data out of `documents`: toxic texts go, near copies go, repeated passages go, the rest is packed.
+
+Every stage takes documents and returns all their columns, but the last, which returns the packed pieces. Null texts and empty
+texts stay (they are clean, nobody's copy, and pack as one end token). A repeated row of a kept document stays with it. An empty table
+gives an empty result at every stage; further columns pass through.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +12,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lotledger.llm import packing
+from lotledger.llm import near_dedup, packing, substring_dedup, toxicity
 from lotledger.llm.tables import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    return near_dedup.without_copies(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier one holds."""
+    return substring_dedup.without_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept texts and their places in sequences of 2048 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeats),
     ("packing", pack),
 ]
 

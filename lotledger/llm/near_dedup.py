@@ -63,16 +63,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in low])])
             sketch = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), sketch],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), sketch, part.column("text_hash")],
+                ["doc_id", "n_shingles", "digest", "sketch", "text_hash"],
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, sketch: its smallest hashes ascending."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>"
-    )
+    """doc_id, n_shingles, digest of the whole set, sketch: its smallest hashes ascending, text_hash."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>, text_hash long")
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
@@ -182,7 +181,7 @@ def _rest(told: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of docs."""
     every = stored(sketches(docs), "sketches")
     classes = stored(
         every.where("n_shingles > 0").groupBy("digest")
@@ -213,6 +212,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         .join(least, "label", "left").select("digest", F.coalesce("component_id", "least_id").alias("component_id"))
     )
-    out = every.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
+    out = every.select("doc_id", "n_shingles", "digest", "text_hash").join(members, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that are kept."""
+    gone = near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("llm_doc_id"), F.col("text_hash").alias("llm_text_hash")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("llm_doc_id")) & (F.xxhash64("text") == F.col("llm_text_hash"))
+    return docs.join(gone, same, "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, chat, fingerprints, katz, near_dedup, packing, substring_dedup, topk, toxicity
+from lotledger.llm import bpe, chat, fingerprints, katz, licenses, near_dedup, packing, substring_dedup, topk, toxicity
 from lotledger.llm.tables import table
 from lotledger.plans.registry import Registry
 
@@ -26,7 +26,7 @@ def op4_katz_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.query("op2_bottomk_near_dedup")
 def op2_bottomk_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_copies(table(spark, folder, "documents"))
+    return near_dedup.near_copies(table(spark, folder, "documents")).drop("text_hash")
 
 
 @REGISTRY.query("op3_minhash_fingerprints")
@@ -34,6 +34,18 @@ def op3_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_and_next(table(spark, folder, "documents"))
 
 
+@REGISTRY.query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: source/thousand/hundred/id.txt; the first ids of each hundred are licence files, the first of all one level up."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    hundred = F.floor(F.col("doc_id") / 100)
+    name = F.when(F.col("doc_id") % 100 < 20, licenses.LICENCE_FILE).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    place = F.when(F.col("doc_id") % 100 < 5, F.concat_ws("/", "source", F.floor(hundred / 10).cast("string"), name)).otherwise(
+        F.concat_ws("/", "source", F.floor(hundred / 10).cast("string"), hundred.cast("string"), name)
+    )
+    return licenses.scan(docs.select(F.col("doc_id").alias("file"), place.alias("path"), "text"))
+
+
 CHAT_SQL = """
 with escaped as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -73,11 +73,14 @@ def train(toxic: list[np.ndarray], some: list[np.ndarray], prior: float) -> tupl
     odds = np.where(counts[0] >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)), np.log(share[0] / share[1]), 0.0)
     odds[prior * np.exp(odds) < LEAST_TELLING] = 0.0  # the chance that a text with the feature is toxic
 
+    telling = np.flatnonzero(odds)
+    number, odds, size = np.cumsum(odds != 0) - 1, odds[telling], len(telling)
+
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         feature = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        used = odds[feature] != 0
-        return text[used], feature[used]
+        used = np.isin(feature, telling)
+        return text[used], number[feature[used]]
 
     (tp, fp), (tu, fu) = matrix(toxic), matrix(some)
     weight, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
@@ -98,7 +101,9 @@ def train(toxic: list[np.ndarray], some: list[np.ndarray], prior: float) -> tupl
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
         weight -= move[:-1]
         bias -= move[-1]
-    return (weight * odds).astype(np.float32), float(bias)
+    out = np.zeros(1 << BITS, np.float32)
+    out[telling] = weight * odds
+    return out, float(bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
