@@ -7,9 +7,10 @@ linked where 100 * intersection >= 85 * union; the operator gives the connected
 2. Inverted lists of the retained values. Linked classes share half of their sketch values or more (the chance of less is under
    1e-9 for a pair right at the threshold), so each class is looked up by its rarest values only, as many as can't all be
    missed then. Values of a passage that very many documents hold are hardly ever among them.
-3. Each list links its members to its first member, not to each other. Candidates pass the estimate from the union
-   sketch, then the exact test on full sets. What is not yet connected within a list afterwards is tried pair by pair,
-   first with further list members as centres, then by all pairs of members of different components.
+3. Each list links its members to one of them, the one that shares most of its values, not to each other. Candidates pass the
+   estimate from the union sketch, then the exact test on full sets. Where a list still holds several components, its members'
+   full sets are searched without loss: a link needs 85 % of a set's shingles in common, so sets that share fewer drop out, and the
+   rarest shingles of the others, with their positions, tell the few pairs left to test.
 4. Components by star contraction.
 
 Null or empty texts, and texts without words: empty set, linked with nothing, kept. Null doc_id: a document of its own that
@@ -34,7 +35,6 @@ from lotledger.llm.words import sequence_hashes, window_hashes, word_hashes
 ship(__name__)
 
 WORDS, K, PERCENT = 5, 64, 85
-STAR_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """value, node: the rarest retained values of each class, those no other class has left out."""
+    """value, node, core: the rarest retained values of each class, those no other class has left out. core: the share of values others have."""
     size = F.size("sketch")
     postings = classes.select("node", size.alias("size"), F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
@@ -85,7 +85,8 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
         F.row_number().over(own.orderBy("n", "value")).alias("place"),
         F.count("*").over(own).alias("shared"),
     )
-    return ranked.where(F.col("place") <= F.col("shared") - F.ceil(F.col("size") / 2) + 1).select("value", "node")
+    few = F.col("place") <= F.col("shared") - F.ceil(F.col("size") / 2) + 1
+    return ranked.where(few).select("value", "node", (F.col("shared") / F.col("size")).alias("core"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -152,32 +153,53 @@ class _Texts:
 NO_ID = (1 << 63) - 1
 
 
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists with the component of each member, where they hold more than one component."""
-    told = lists.join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
-    open_lists = told.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
-    return told.join(open_lists, "value")
-
-
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _stars(told: DataFrame, turn: int) -> DataFrame:
-    """Each list's members of other components paired with one member, another one each turn."""
-    key = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centre = told.groupBy("value").agg(F.min(F.struct(key.alias("key"), "node", "label")).alias("c"))
-    return (
-        told.join(centre, "value").where(F.col("label") != F.col("c.label"))
-        .select(*_ordered(F.col("node"), F.col("c.node"))).distinct()
-    )
+def _stars(lists: DataFrame) -> DataFrame:
+    """Each list's members paired with the one that shares most."""
+    centre = lists.groupBy("value").agg(F.max(F.struct("core", "node")).alias("c")).select("value", F.col("c.node").alias("centre"))
+    return lists.join(centre, "value").where("node <> centre").select(*_ordered(F.col("node"), F.col("centre"))).distinct()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 19):
+            sets = shingle_sets(texts_of(part))
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node").take(pa.array(row)), part.column("label").take(pa.array(row)), pa.array(sizes[row]), pa.array(np.concatenate(sets).astype(np.int64))],
+                ["node", "label", "n", "value"],
+            )
 
 
-def _rest(told: DataFrame) -> DataFrame:
-    """All pairs of list members that are in different components still."""
-    one = told.select("value", F.col("node").alias("x"), F.col("label").alias("lx"))
-    two = told.select("value", F.col("node").alias("y"), F.col("label").alias("ly"))
-    return one.join(two, "value").where(F.col("lx") < F.col("ly")).select(*_ordered(F.col("x"), F.col("y"))).distinct()
+def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of list members in different components that a link is possible for, by prefix, size and position of full sets.
+
+    In the order from the rarest shingle on, linked sets of n and m shingles have a first common one among the first
+    n - 0.85 n + 1 of either, and from there on enough shingles left for the intersection, 0.85 / 1.85 (n + m).
+    """
+    told = lists.select("value", "node").join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
+    several = told.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
+    nodes = told.join(several, "value").select("node", "label").distinct()
+    rows = stored(texts.join(nodes, "node").select("node", "label", "text").mapInArrow(_members, "node long, label long, n long, value long"), "members")
+    common = rows.groupBy("value").agg(F.count("*").alias("many"), F.min("label").alias("x"), F.max("label").alias("y")).where("many > 1")
+    own = Window.partitionBy("node")
+    ranked = rows.join(common, "value").select(
+        "node", "label", "n", "value", (F.col("x") < F.col("y")).alias("open"),
+        F.row_number().over(own.orderBy("many", "value")).alias("place"), F.count("*").over(own).alias("shared"),
+    )
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    prefix = ranked.where("open").where((F.col("shared") >= least) & (F.col("place") <= F.col("shared") - least + 1))
+    prefix = stored(prefix.select("node", "label", "n", "value", (F.col("n") - F.col("shared") + F.col("place")).alias("at")), "prefix")
+    one, two = (prefix.select("value", *[F.col(c).alias(c + k) for c in ("node", "label", "n", "at")]) for k in "12")
+    small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
+    left = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fits = (100 * small >= PERCENT * large) & ((100 + PERCENT) * left >= PERCENT * (F.col("n1") + F.col("n2")))
+    return one.join(two, "value").where((F.col("label1") < F.col("label2")) & fits).select(*_ordered(F.col("node1"), F.col("node2"))).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -190,21 +212,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "classes",
     )
     lists = stored(inverted_lists(classes), "lists")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    tried = spark.createDataFrame([], "a long, b long")
-    texts = None
-    for turn in range(STAR_ROUNDS + 1):
-        told = stored(_labelled(lists, labels), "told")
-        pairs = _stars(told, turn) if turn < STAR_ROUNDS else _rest(told)
-        pairs = pairs if turn == 0 else pairs.join(tried, ["a", "b"], "left_anti")
-        if texts is None:
-            texts = _Texts(docs, classes, told.select("node").distinct())
-        chosen = stored(likely(pairs, classes), "likely")
-        tried = tried.union(chosen)
-        links = links.union(stored(texts.linked(chosen), "linked"))
-        labels = connected(links)
+    stars = stored(likely(_stars(lists), classes), "likely")
+    texts = _Texts(docs, classes, lists.select("node").distinct())
+    links = stored(texts.linked(stars), "linked")
+    rest = likely(_rest(lists, connected(links), texts.rows).join(stars, ["a", "b"], "left_anti"), classes)
+    labels = connected(links.union(texts.linked(rest)))
     ends = labels.join(classes.select("node", "least_id"), "node").select("label", "least_id")
     ends = ends.union(labels.select("label").distinct().join(classes.select(F.col("node").alias("label"), "least_id"), "label"))
     least = ends.groupBy("label").agg(F.min("least_id").alias("component_id"))
