@@ -232,5 +232,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that are kept."""
     gone = near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("llm_doc_id"), F.col("text_hash").alias("llm_text_hash")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("llm_doc_id")) & (F.xxhash64("text") == F.col("llm_text_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("llm_doc_id")) & (F.xxhash64("text") == F.col("llm_text_hash"))
     return docs.join(gone, same, "left_anti")
