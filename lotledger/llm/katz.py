@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.llm.tables import ship, stored, texts_of
-from lotledger.llm.units import in_units, packed, planes, rows_of, unpacked, unplanes
+from lotledger.llm.units import in_units, joined, packed, parted, planes, rows_of, unpacked, unplanes
 from lotledger.llm.words import mixed, word_hashes
 
 ship(__name__)
 
-FOLDS, MOST, SHARD = 10, 5, 1 << 21
+FOLDS, MOST, SHARD, KEY_BYTES = 10, 5, 1 << 20, 5
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF)
 WORDS, BIGRAMS, HOT_PART, HOT_ASKED, HOT, TOTALS = range(6)
 ANSWER = pa.schema([
@@ -61,7 +61,6 @@ class Tokens:
         word[inner] = hashes
         self.learnt = np.repeat(~self.held_out, self.counts)
         self.words, self.word = np.unique(word, return_inverse=True)
-        self.word_raw = word
 
     def learnt_counts(self) -> np.ndarray:
         return np.bincount(self.word[self.learnt], minlength=len(self.words))
@@ -84,14 +83,14 @@ def _cuts(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 def _word_questions(bits: int) -> Callable:
-    schema = pa.schema([("part", pa.int64()), ("unit", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("unit", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 own = Tokens(rows_of(batch, k))
                 counts = own.learnt_counts()
-                rows = [(s, batch.column("unit")[k].as_py(), packed(own.words[a:b]), planes(counts[a:b])) for s, a, b in _cuts(own.words, bits)]
+                rows = [(s, batch.column("unit")[k].as_py(), joined([packed(own.words[a:b]), planes(counts[a:b])])) for s, a, b in _cuts(own.words, bits)]
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     return run
@@ -104,14 +103,15 @@ def _totals(counts: np.ndarray) -> list[int]:
 
 
 def _word_answers(group: pa.Table) -> pa.Table:
-    words = [unpacked(x.as_py()) for x in group.column("words")]
-    counts = np.concatenate([unplanes(x.as_py(), np.int64) for x in group.column("counts")])
+    asked = [parted(x.as_py()) for x in group.column("data")]
+    words = [unpacked(x) for x, _ in asked]
+    counts = np.concatenate([unplanes(x, np.int64) for _, x in asked])
     _, back = np.unique(np.concatenate(words), return_inverse=True)
     total = np.zeros(int(back.max()) + 1, np.int64)
     np.add.at(total, back, counts)
     shares = np.split(total[back], np.cumsum([len(w) for w in words])[:-1])
     part = group.column("part")[0].as_py()
-    rows = [(u, WORDS, part, 0, planes(s), None, None) for u, s in zip(group.column("unit").to_pylist(), shares, strict=True)]
+    rows = [(u, WORDS, part, 0, joined([planes(s)]), None, None) for u, s in zip(group.column("unit").to_pylist(), shares, strict=True)]
     return _answers([*rows, (-1, TOTALS, WORDS, 0, None, _totals(total), None)])
 
 
@@ -150,7 +150,7 @@ class Asked:
         told = {
             part: data for kind, part, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True) if kind == WORDS
         }
-        self.counts = np.concatenate([unplanes(told[s], np.int64) for s, _, _ in _cuts(own.words, bits)])
+        self.counts = np.concatenate([unplanes(parted(told[s])[0], np.int64) for s, _, _ in _cuts(own.words, bits)])
         self.pairs, self.of_token = own.bigrams()
         wide = len(own.words) + 1
         self.history, self.word = np.divmod(self.pairs, wide)
@@ -159,8 +159,8 @@ class Asked:
         self.as_history = np.append(self.counts, begins)
         # Histories that fill more than a shard are dealt out by word.
         salts = np.maximum(1, -(-self.as_history // SHARD))[self.history]
-        key = own.words[self.word]
-        salt = np.where(salts > 1, 1 + (key >> np.uint64(48)).astype(np.int64) % salts, 0)
+        key = own.words[self.word] >> np.uint64(8 * KEY_BYTES)
+        salt = np.where(salts > 1, 1 + key.astype(np.int64) % salts, 0)
         part = self.hashes[self.history] >> np.uint64(2)
         usual = self.hashes[self.history] >> np.uint64(64 - bits) if bits else np.zeros(len(part), np.uint64)
         part = np.where(salts > 1, part, usual).astype(np.int64)
@@ -176,12 +176,11 @@ def _histories(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return history[first], np.diff(first, append=len(history))
 
 
-QUESTION = "part long, salt int, unit long, histories binary, sizes binary, words binary, counts binary, lower binary"
+QUESTION = "part long, salt int, unit long, data binary"
 
 
 def _bigram_questions(bits: int) -> Callable:
-    names = [x.split()[0] for x in QUESTION.split(", ")]
-    schema = pa.schema([(n, pa.int64() if n in ("part", "unit") else pa.int32() if n == "salt" else pa.binary()) for n in names])
+    schema = pa.schema([("part", pa.int64()), ("salt", pa.int32()), ("unit", pa.int64()), ("data", pa.binary())])
 
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
@@ -191,29 +190,27 @@ def _bigram_questions(bits: int) -> Callable:
             learnt = np.bincount(asked.of_token[own.learnt], minlength=len(asked.pairs))
             for (part, salt), at in zip(asked.names, asked.slices, strict=True):
                 history, sizes = _histories(asked.history[at])
-                key = own.words[asked.word[at]] & np.uint64((1 << 48) - 1)
-                rows.append((
-                    part, salt, units.column("unit")[k].as_py(), packed(asked.hashes[history]), planes(sizes.astype(np.int32)),
-                    planes(key, 6), planes(learnt[at]), planes(asked.counts[asked.word[at]]),
-                ))
-        return pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+                word = asked.word[at]
+                # Within one history of one group, KEY_BYTES of a word's hash tell words apart; other bits deal them out.
+                data = joined([packed(asked.hashes[history]), planes(sizes), planes(own.words[word], KEY_BYTES), planes(learnt[at]), planes(asked.counts[word])])
+                rows.append((part, salt, units.column("unit")[k].as_py(), data))
+        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     return run
 
 
 def _bigram_answers(unigrams: Unigrams) -> Callable:
     def run(group: pa.Table) -> pa.Table:
-        get = lambda c, *a: [f(x.as_py(), *a) for x in group.column(c)]  # noqa: B023, E731
-        f = unpacked
-        histories = get("histories")
-        f = unplanes
-        sizes, words = get("sizes", np.int32), get("words", np.uint64, 6)
-        counts, lower = np.concatenate(get("counts", np.int64)), np.concatenate(get("lower", np.int64))
+        asked = list(zip(*[parted(x.as_py()) for x in group.column("data")], strict=True))
+        histories, sizes = [unpacked(x) for x in asked[0]], [unplanes(x, np.int64) for x in asked[1]]
+        words = np.concatenate([unplanes(x, np.uint64, KEY_BYTES) for x in asked[2]])
+        counts, lower = (np.concatenate([unplanes(x, np.int64) for x in blocks]) for blocks in asked[3:])
         distinct, back = np.unique(np.concatenate(histories), return_inverse=True)
         history = np.repeat(back, np.concatenate(sizes))
-        key = mixed(history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.concatenate(words))
+        key = mixed(history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words)
         order = np.argsort(key)
-        new = np.diff(key[order], prepend=key[order[0]] + np.uint64(1)) != 0
+        key = key[order]
+        new = np.diff(key, prepend=key[0] + np.uint64(1)) != 0
         first = np.flatnonzero(new)
         total = np.add.reduceat(counts[order], first)
         of_entry = np.empty(len(order), np.int64)
@@ -232,8 +229,8 @@ def _bigram_answers(unigrams: Unigrams) -> Callable:
             if salt:
                 rows += [(unit, HOT_ASKED, None, 0, None, [int(h)], None) for h in distinct[own].view(np.int64)]
             else:
-                blocks += [planes(x[own]) for x in facts] + [planes(mass[own].view(np.int64))]
-            rows.append((unit, BIGRAMS, part, salt, _joined(blocks), None, None))
+                blocks += [planes(x[own]) for x in facts] + [mass[own].tobytes()]
+            rows.append((unit, BIGRAMS, part, salt, joined(blocks), None, None))
         if salt:
             for k, h in enumerate(distinct.view(np.int64)):
                 rows.append((-1, HOT_PART, None, 0, None, [int(h), *(int(x[k]) for x in facts)], float(mass[k])))
@@ -242,16 +239,6 @@ def _bigram_answers(unigrams: Unigrams) -> Callable:
     return run
 
 
-def _joined(blocks: list[bytes]) -> bytes:
-    return np.array([len(blocks), *map(len, blocks)], np.int64).tobytes() + b"".join(blocks)
-
-
-def _parted(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    stops = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(data, np.int64, n, 8).tolist()])
-    return [data[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
-
-
 def _scores(bits: int, unigrams: Unigrams, kept: np.ndarray) -> Callable:
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         out = [_scored(Tokens(rows_of(units, k)), answers, bits, unigrams, kept) for k in range(units.num_rows)]
@@ -265,7 +252,7 @@ def _scored(own: Tokens, answers: pa.Table, bits: int, unigrams: Unigrams, kept:
     told, hot = {}, []
     for kind, part, salt, data, numbers, mass in zip(*(answers.column(c).to_pylist() for c in ANSWER.names[1:]), strict=True):
         if kind == BIGRAMS:
-            told[part, salt] = _parted(data)
+            told[part, salt] = parted(data)
         elif kind == HOT:
             hot.append((numbers, mass))
     count = np.zeros(len(asked.pairs), np.int64)
@@ -277,7 +264,7 @@ def _scored(own: Tokens, answers: pa.Table, bits: int, unigrams: Unigrams, kept:
         if len(blocks) > 1:
             history, _ = _histories(asked.history[at])
             facts[:, history] = [unplanes(x, np.int64) for x in blocks[1:-1]]
-            mass[history] = unplanes(blocks[-1], np.int64).view(np.float64)
+            mass[history] = np.frombuffer(blocks[-1])
     for (h, *numbers), share in hot:
         k = int(np.searchsorted(asked.hashes, np.array([h], np.int64).view(np.uint64))[0])
         facts[:, k], mass[k] = numbers, share
@@ -318,7 +305,7 @@ def score(docs: DataFrame) -> DataFrame:
     total = units.agg(F.sum("n_words")).first()[0] or 0
     bits = max(0, (total // SHARD).bit_length())
     by_unit = units.groupBy("unit")
-    asked = units.mapInArrow(_word_questions(bits), "part long, unit long, words binary, counts binary")
+    asked = units.mapInArrow(_word_questions(bits), "part long, unit long, data binary")
     words = stored(asked.groupBy("part").applyInArrow(_word_answers, ANSWER_DDL), "katz-words")
     unigrams = Unigrams(_summed(words, WORDS))
     told = words.where(F.col("kind") == WORDS)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -19,7 +20,7 @@ from lotledger.llm.words import raw, word_spans
 
 ship(__name__)
 
-UNIT_BYTES = 3 << 20
+UNIT_BYTES = 2 << 20
 
 
 def _words(part: pa.RecordBatch) -> int:
@@ -45,7 +46,7 @@ def in_units(docs: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"llm_units_{uuid.uuid4().hex}"
     units = docs.mapInArrow(_units, f"unit long, n_words long, rows array<struct<{inner}>>")
-    units.write.bucketBy(buckets, "unit").option("path", store_path(spark, "units")).saveAsTable(name)
+    units.write.bucketBy(buckets, "unit").option("path", store_path(spark, "units")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
@@ -80,3 +81,15 @@ def packed(ascending: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
+def joined(blocks: list[bytes]) -> bytes:
+    """Several blocks as one, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(blocks), *map(len, blocks)], np.int64).tobytes() + b"".join(blocks))
+
+
+def parted(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    stops = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(data, np.int64, n, 8).tolist()])
+    return [data[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
