@@ -28,15 +28,15 @@ def parse(spark, items, second=False):
 def test_list_item_values(spark):
     changes = [
         {},
-        {"sold_text": "Bid to USD $189,000 on 3/29/26", "current_bid": None},
+        {"sold_text": "Bid to USD $88,000 on 7/14/25", "current_bid": None},
         {"current_bid": " "},
-        {"current_bid": "USD $229,500"},
-        {"sold_text": "Sold for USD $1,000", "timestamp_end": 1773861906},
-        {"sold_text": "Sold for USD $1,000", "timestamp_end": 1773861906000},
+        {"current_bid": "USD $96,750"},
+        {"sold_text": "Sold for USD $1,000", "timestamp_end": 1751500806},
+        {"sold_text": "Sold for USD $1,000", "timestamp_end": 1751500806000},
         {"sold_text": "Listing Withdrawn at $5 on 12/31/1998"},
         {"sold_text": "Reserve not met $7 on 1/2/70", "id": None, "noreserve": 1},
         {"title": "11k-Mile 2016 Mercedes-AMG GT S"},
-        {"title": "1,100-Mile 1997 Land Rover Defender 90 NAS Lizard Green"},
+        {"title": "2,300-Mile 2001 Land Rover Discovery SE Estoril Blue"},
         {"title": "32.3k-Mile No Reserve: 1967 Alfa Romeo Duetto"},
         {"title": "1967 Lotus"},
         {"bids": "17 bids", "bid_count": None},
@@ -44,21 +44,21 @@ def test_list_item_values(spark):
     ]
     lots = [lot for reason, lot in parse(spark, [{**LIST_ITEM, **c} for c in changes])]
     first = lots[0]
-    assert (first.source, first.source_auction_id, first.auction_status) == ("bring_a_trailer", "108526570", "sold")
-    assert (first.sold_price, first.high_bid, first.bid_count, first.year) == (229000, 229000, 42, 2019)
-    assert (first.make, first.model, first.trim) == ("Porsche", "911", "GT3 RS Weissach")
-    assert first.ended_at == datetime(2026, 3, 29) and first.location == "United States"
-    assert first.vehicle_details == {"country": '"United States"', "no_reserve": "false"}
+    assert (first.source, first.source_auction_id, first.auction_status) == ("bring_a_trailer", "70412233", "sold")
+    assert (first.sold_price, first.high_bid, first.bid_count, first.year) == (96500, 96500, 31, 2011)
+    assert (first.make, first.model, first.trim) == ("Audi", "R8", "V10 Spyder")
+    assert first.ended_at == datetime(2025, 7, 14) and first.location == "Canada"
+    assert first.vehicle_details == {"country": '"Canada"', "no_reserve": "false"}
     assert json.loads(first.list_payload) == LIST_ITEM
-    assert (lots[1].auction_status, lots[1].sold_price, lots[1].high_bid) == ("reserve_not_met", None, 189000)
-    assert [lot.high_bid for lot in lots[2:4]] == [229000, 229500]
-    assert {lot.ended_at for lot in lots[4:6]} == {datetime(2026, 3, 18, 19, 25, 6)}
+    assert (lots[1].auction_status, lots[1].sold_price, lots[1].high_bid) == ("reserve_not_met", None, 88000)
+    assert [lot.high_bid for lot in lots[2:4]] == [96500, 96750]
+    assert {lot.ended_at for lot in lots[4:6]} == {datetime(2025, 7, 3, 0, 0, 6)}
     assert (lots[6].auction_status, lots[6].ended_at) == ("withdrawn", datetime(1998, 12, 31))
     assert (lots[7].auction_status, lots[7].ended_at, lots[7].source_auction_id) == (
         "reserve_not_met", datetime(1970, 1, 2), None)
     assert lots[7].vehicle_details["no_reserve"] == "true"
     assert (lots[8].mileage, lots[8].make, lots[8].model, lots[8].trim) == (11000, "Mercedes-AMG", "GT", "S")
-    assert (lots[9].mileage, lots[9].make, lots[9].exterior_color) == (1100, "Land Rover", "Lizard Green")
+    assert (lots[9].mileage, lots[9].make, lots[9].exterior_color) == (2300, "Land Rover", "Blue")
     assert (lots[10].mileage, lots[10].make, lots[10].model, lots[10].trim) == (32299, "Alfa Romeo", "Duetto", None)
     assert (lots[11].make, lots[11].model) == (None, None)
     assert lots[12].bid_count == 17
@@ -68,11 +68,11 @@ def test_list_item_values(spark):
 def test_list_item_reasons(spark):
     cases = [
         ({"title": ""}, "no_title"), ({"title": None}, "no_title"), ({"title": 5}, "parse_error"),
-        ({"title": "Euro Porsche 996 GT3 Recaro Seats"}, "parts_or_non_car"),
-        ({"title": "19&quot; Wheels"}, "parts_or_non_car"), ({"title": "1965 Airstream Caravel"}, "parts_or_non_car"),
-        ({"title": "AJS Model 18"}, "parts_or_non_car"), ({"title": "1959 Porsche-Diesel Junior"}, "parts_or_non_car"),
-        ({"url": ""}, "no_url"), ({"title": "Porsche 911"}, "no_year"), ({"sold_text": "Sold on 3/29/26"}, "no_price"),
-        ({"sold_text": "Sold for $0 on 3/29/26"}, "no_price"), ({"sold_text": "Sold for $, on 3/29/26"}, "parse_error"),
+        ({"title": "Spare Audi R8 Bucket Seats"}, "parts_or_non_car"),
+        ({"title": "19&quot; Wheels"}, "parts_or_non_car"), ({"title": "1971 Airstream Overlander"}, "parts_or_non_car"),
+        ({"title": "AJS Model 16"}, "parts_or_non_car"), ({"title": "1958 Porsche-Diesel Standard"}, "parts_or_non_car"),
+        ({"url": ""}, "no_url"), ({"title": "Porsche 911"}, "no_year"), ({"sold_text": "Sold on 7/14/25"}, "no_price"),
+        ({"sold_text": "Sold for $0 on 7/14/25"}, "no_price"), ({"sold_text": "Sold for $, on 7/14/25"}, "parse_error"),
         ({"sold_text": None}, "parse_error"), ({"sold_text": "Sold for $5"}, "no_end_date"),
         ({"sold_text": "Sold for $5 on 2/30/26"}, "no_end_date"), ({"title": ",-Mile 1997 Lotus Elise"}, "parse_error"),
     ]
@@ -90,13 +90,13 @@ def test_api_items(spark):
     ]
     lots = [lot for _, lot in parse(spark, [{**API_ITEM, **c} for c in changes], second=True)]
     first = lots[0]
-    assert first.canonical_url == "https://carsandbids.com/auctions/abc123/"
-    assert (first.sold_price, first.high_bid, first.bid_count, first.mileage) == (155500, 155500, 18, 6700)
-    assert first.ended_at == datetime(2026, 1, 22, 18, 32, 47, 781000)
-    assert (first.exterior_color, first.seller) == ("Lizard Green", "dryhurst")
-    assert first.image_urls == ["https://media.example/abc123/hero.jpg"]
-    assert first.vehicle_details == {"transmission": '"Manual"', "no_reserve": "false", "seller": '{"username":"dryhurst"}'}
-    assert (lots[1].auction_status, lots[1].sold_price, lots[1].high_bid) == ("reserve_not_met", None, 155500)
+    assert first.canonical_url == "https://carsandbids.com/auctions/qz81kd/"
+    assert (first.sold_price, first.high_bid, first.bid_count, first.mileage) == (24750, 24750, 27, 41300)
+    assert first.ended_at == datetime(2025, 11, 3, 20, 15, 9, 250000)
+    assert (first.exterior_color, first.seller) == ("Blue", "northfork")
+    assert first.image_urls == ["https://media.example/qz81kd/front.jpg"]
+    assert first.vehicle_details == {"transmission": '"Manual"', "no_reserve": "false", "seller": '{"username":"northfork"}'}
+    assert (lots[1].auction_status, lots[1].sold_price, lots[1].high_bid) == ("reserve_not_met", None, 24750)
     assert (lots[2].seller, lots[2].image_urls) == ("plain", ["https://i/1.jpg"])
     assert (lots[3].ended_at, lots[3].mileage, lots[3].transmission, lots[3].location) == (THEN, None, "6", None)
     assert lots[3].bid_count == 7
@@ -112,15 +112,15 @@ def test_detail_page(spark):
     rows = {r.n: r for r in detail_pages.detail_payload(df).collect()}
     d = rows[1].detail
     assert (d.seller, d.location, d.seller_type, d.lot_number, d.bid_count) == (
-        "some & seller", "Austin, Texas", "Dealer", "235490", 1037)
+        "some & seller", "Duluth, Minnesota", "Dealer", "118204", 1206)
     assert d.description == "Fine & dandy" and json.loads(d.product_payload)["@type"] == "Product"
     assert d.image_urls == ["https://b.example/hero.jpg", "https://b.example/wp-content/uploads/intro.jpg",
                             "https://b.example/wp-content/uploads/second.jpg"]
     e = d.extracted
     assert (e.chassis, e.mileage, e.exterior_color, e.interior_color) == (
-        "WP0AF2A95KS165432", 29000, "Lizard Green Paint", "Black Leather Upholstery")
-    assert (e.transmission, e.drivetrain, e.engine) == ("Seven-Speed PDK Transaxle", "All-Wheel Drive", "4.0-Liter Flat-Six")
-    assert len(d.listing_details) == 10 and "26-Gallon Fuel Tank, 3.0-liter" in d.listing_details
+        "WUARNAFG5BN000417", 18000, "Estoril Blue Paint", "Brown Leather Upholstery")
+    assert (e.transmission, e.drivetrain, e.engine) == ("Six-Speed R Tronic Transaxle", "All-Wheel Drive", "5.2-Liter V10")
+    assert len(d.listing_details) == 10 and "21-Gallon Fuel Tank, 2.5-liter" in d.listing_details
     assert rows[2].detail.listing_details == [] and rows[2].detail.bid_count is None and not rows[2].detail_error
     assert rows[3].detail_error
 
@@ -139,8 +139,8 @@ def test_bid_count_forms(spark):
 @pytest.mark.parametrize(
     "text, year, identifier, vin",
     [
-        ("Chassis: VIN: JH4DC2319YS003955", 2000, "JH4DC2319YS003955", True),
-        ("Chassis: ar3021882, Model#11501", 1973, "AR3021882", True),
+        ("Chassis: VIN: 1HGEJ8144XL000123", 2000, "1HGEJ8144XL000123", True),
+        ("Chassis: bk4410237, Model#20733", 1973, "BK4410237", True),
         ("Chassis: WP0ZZZ99Z3S69O123", 2003, "WP0ZZZ99Z3S69O123", False),
         ("Chassis No.: serial # 12  34", None, "12 34", True),
         ("Chassis number: Serial #: 12  34", 1990, "12 34", False),
@@ -158,7 +158,7 @@ def test_chassis(spark, text, year, identifier, vin):
 def test_result_pages_and_directory(spark, tmp_path):
     pages = spark.createDataFrame(
         [
-            ("1", "bat_model_page", "text/html", result_html([LIST_ITEM, {**LIST_ITEM, "id": 2}], 768, {"k": 1})),
+            ("1", "bat_model_page", "text/html", result_html([LIST_ITEM, {**LIST_ITEM, "id": 2}], 214, {"k": 1})),
             ("2", "bat_model_page", "text/html", "<script>var auctionsCompletedInitialData = {broken};</script>"),
             ("3", "bat_api_completed_results", "text/plain", json.dumps({"items": [LIST_ITEM], "pages_total": " ", "base_filter": {"k": 1}})),
             ("4", "other", "application/json", "no json"),
@@ -167,7 +167,7 @@ def test_result_pages_and_directory(spark, tmp_path):
     )
     loaded = with_paging(with_payload(pages))
     rows = {r.id: r for r in loaded.drop("payload").collect()}
-    assert (rows["1"].pages_total, rows["1"].items_total, rows["1"].item_count, rows["1"].base_filter) == (768, 18413, 2, '{"k":1}')
+    assert (rows["1"].pages_total, rows["1"].items_total, rows["1"].item_count, rows["1"].base_filter) == (214, 5121, 2, '{"k":1}')
     assert (rows["2"].pages_total, rows["2"].item_count) == (1, 0)
     assert (rows["3"].pages_total, rows["3"].item_count, rows["3"].base_filter) == (1, 1, "{}")
     assert rows["4"].item_count == 0

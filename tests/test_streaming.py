@@ -11,7 +11,7 @@ from lotledger.sources.raw_pages import register_pages
 from lotledger.streaming import feed
 from lotledger.streaming.ingest import Store, current_targets, ingest_pages, start_ingest, stored_lots
 
-SECOND = {**LIST_ITEM, "id": 2, "title": "1997 Land Rover Defender 90 NAS", "url": "https://bringatrailer.com/listing/d90/"}
+SECOND = {**LIST_ITEM, "id": 2, "title": "2001 Land Rover Discovery SE", "url": "https://bringatrailer.com/listing/disco/"}
 
 
 def _page(spark, number, kind, url, content, content_type="text/html"):
@@ -30,7 +30,7 @@ def _pages(spark):
         _page(spark, 2, "bat_detail_page", LIST_ITEM["url"].rstrip("/"), DETAIL_PAGE),
         _page(
             spark, 3, "bat_api_completed_results", "https://bringatrailer.com/api",
-            json.dumps({"items": [{**LIST_ITEM, "current_bid": 230000, "bids": None}]}), "application/json",
+            json.dumps({"items": [{**LIST_ITEM, "current_bid": 97000, "bids": None}]}), "application/json",
         ),
     ]
 
@@ -40,7 +40,7 @@ def _state(spark, store):
     return [(r.source_auction_id, r.high_bid, r.bid_count, r.mileage, r.vin, len(r.image_urls)) for r in rows]
 
 
-EXPECTED = [("108526570", 230000, 1037, 29000, "WP0AF2A95KS165432", 4), ("2", 229000, 42, None, None, 1)]
+EXPECTED = [("70412233", 97000, 1206, 18000, "WUARNAFG5BN000417", 4), ("2", 96500, 31, None, None, 1)]
 
 
 def _runs(spark, store):
