@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from lotledger.operators.market import total_count
 
-MAX_PAGE_SIZE = 200
-
 
 @dataclass(frozen=True)
 class Key:
@@ -66,8 +64,8 @@ def ordered(df: DataFrame, keys: list[Key]) -> DataFrame:
 
 def page(df: DataFrame, number: int, size: int, keys: list[Key]) -> DataFrame:
     """Page `number` (from 1) of `size` rows."""
-    if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
-        raise ValueError(f"page from 1, size from 1 to {MAX_PAGE_SIZE}")
+    if number < 1 or size < 1:
+        raise ValueError("page and size from 1")
     return ordered(df, keys).offset((number - 1) * size).limit(size)
 
 
@@ -104,7 +102,9 @@ def ready_targets(targets: DataFrame, source: str, now: Column, limit: int) -> D
     return ordered(ready, [Key("priority"), Key("created_at"), ID]).limit(limit)
 
 
-def lots_without_detail(lots: DataFrame, source: str, limit: int = 500) -> DataFrame:
-    """Newest lots of a source whose detail page has not been read."""
+def lots_without_detail(lots: DataFrame, source: str, limit: int | None = None) -> DataFrame:
+    """Lots of a source whose detail page has not been read: all, or the newest `limit`."""
     missing = lots.where((F.col("source") == source) & F.col("detail_scraped_at").isNull())
+    if limit is None:
+        return missing
     return ordered(missing, [Key("ended_at", True, nulls_last_anyway=True), NEWEST, ID]).limit(limit)

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotledger.functions.maps import text_fragment
 
-SNAPSHOT_LIMIT = 5000
-
 
 def first_seen(lots: DataFrame, run: str = "run_id", order: str = "ord") -> DataFrame:
     """The first record of every url within a run; `order` tells what came first."""
@@ -44,30 +41,23 @@ def page_tally(items: DataFrame) -> DataFrame:
 
 
 def state_snapshot(discovered: DataFrame, counters: DataFrame, status: str, now, context: str | None = None) -> DataFrame:
-    """(source, mode, state) with the figures of a run and its first ids and urls.
+    """(source, mode, state) with the figures of a run: counters, time span, and how many ids and urls it discovered.
 
-    `discovered` has source, mode, ord, source_auction_id, canonical_url and ended_at;
-    `counters` one row per (source, mode). Only the first 5000 values per source are
-    collected, and the rank filter drops the rest before the shuffle.
+    `discovered` has source, mode, source_auction_id, canonical_url and ended_at; `counters` one row per (source, mode).
+    The ids and urls themselves are rows of `discoveries`.
     """
     keys = ["source", "mode"]
+    kinds = {"auction_ids_discovered": "source_auction_id", "auction_urls_discovered": "canonical_url"}
     spans = discovered.groupBy(*keys).agg(
-        F.min("ended_at").alias("oldest"), F.max("ended_at").alias("newest")
+        F.min("ended_at").alias("oldest"), F.max("ended_at").alias("newest"), *[F.count(c).alias(k) for k, c in kinds.items()]
     )
-    kinds = {"auction_ids_discovered": "source_auction_id", "auction_urls_discovered": "canonical_url"}
-    firsts = None
-    for kind, column in kinds.items():
-        part = first_values(discovered, keys, column).withColumnRenamed("values", kind)
-        firsts = part if firsts is None else firsts.join(part, keys, "full")
-    joined = counters.join(spans, keys, "left").join(firsts, keys, "left")
+    joined = counters.join(spans, keys, "left")
     number_columns = [c for c in counters.columns if c not in keys]
     stamp = text_fragment(now.cast("string"))
     ending = {"success": "last_success_at", "cancelled": "last_cancelled_at", "error": "last_error_at"}
     parts = [F.lit("last_status"), text_fragment(F.lit(status)), F.lit("last_progress_at"), stamp]
-    for name in number_columns:
+    for name in [*number_columns, *kinds]:
         parts += [F.lit(name), F.coalesce(F.col(name).cast("string"), F.lit("0"))]
-    for kind in kinds:
-        parts += [F.lit(kind), F.coalesce(F.to_json(kind), F.lit("[]"))]
     for name, column in (("oldest_ended_at", "oldest"), ("newest_ended_at", "newest")):
         parts += [F.lit(name), text_fragment(F.col(column).cast("string"))]
     if context:
@@ -77,13 +67,14 @@ def state_snapshot(discovered: DataFrame, counters: DataFrame, status: str, now,
     return joined.select(*keys, F.create_map(*parts).alias("state"), now.alias("last_run_at"))
 
 
-def first_values(df: DataFrame, keys: list[str], column: str, limit: int = SNAPSHOT_LIMIT) -> DataFrame:
-    """Per key group the first `limit` values of a column in the order of `ord`."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("ord"))
-    ranked = df.where(F.col(column).isNotNull()).select(*keys, "ord", column).withColumn("_rank", rank)
-    kept = ranked.where(F.col("_rank") <= limit)
-    listed = F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.col(column).alias("value"))))
-    return kept.groupBy(*keys).agg(F.transform(listed, lambda v: v["value"]).alias("values"))
+def discoveries(discovered: DataFrame) -> DataFrame:
+    """Every id and url a run discovered as a row: source, mode, run_id, kind, value."""
+    values = F.array(
+        F.struct(F.lit("auction_id").alias("kind"), F.col("source_auction_id").alias("value")),
+        F.struct(F.lit("auction_url").alias("kind"), F.col("canonical_url").alias("value")),
+    )
+    rows = discovered.select("source", "mode", "run_id", F.inline(values))
+    return rows.where(F.col("value").isNotNull())
 
 
 def merge_state(existing: DataFrame, updates: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ def result_page_targets(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_limit(pages_total: Column, mode: str, limit: int = 5) -> Column:
-    """All pages when reading history, the first ones otherwise."""
+def page_limit(pages_total: Column, mode: str, limit: int) -> Column:
+    """All pages when reading history, the first `limit` otherwise."""
     return pages_total if mode == "backfill" else F.least(pages_total, F.lit(limit).cast("int"))
 
 

@@ -428,7 +428,7 @@ def _(spark, folder):
         {
             "label": F.col("l_suppkey").cast("string"),
             "parsed_first_page": F.col("item_count"),
-            "page_limit": targets.page_limit(F.col("pages_total"), "incremental"),
+            "page_limit": targets.page_limit(F.col("pages_total"), "incremental", 5),
         }
     )
     both = quality.all_anomalies(quality.pagination_incomplete(pages), quality.pagination_without_filter(pages))
@@ -447,20 +447,13 @@ def _(spark, folder):
 
 @register(
     "crawl_state_snapshot",
-    LOTS + """, ranked_ids AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY l_shipdate, l_partkey, l_suppkey, id) AS nth FROM lots)
-SELECT source, CAST(count(*) AS VARCHAR) AS records_found, concat('"', strftime(min(ended_at), '%Y-%m-%d %H:%M:%S'), '"') AS oldest_ended_at,
+    LOTS + """SELECT source, CAST(count(*) AS VARCHAR) AS records_found, concat('"', strftime(min(ended_at), '%Y-%m-%d %H:%M:%S'), '"') AS oldest_ended_at,
  concat('"', strftime(max(ended_at), '%Y-%m-%d %H:%M:%S'), '"') AS newest_ended_at,
- sha256(concat('["', string_agg(source_auction_id, '","' ORDER BY nth) FILTER (nth <= 5000), '"]')) AS ids,
- sha256(concat('["', string_agg(canonical_url, '","' ORDER BY nth) FILTER (nth <= 5000), '"]')) AS urls
-FROM ranked_ids GROUP BY source""",
+ CAST(count(source_auction_id) AS VARCHAR) AS ids, CAST(count(canonical_url) AS VARCHAR) AS urls
+FROM lots GROUP BY source""",
 )
 def _(spark, folder):
-    rows = observed.latest_lineitems(spark, folder, "l_extendedprice", "l_quantity", "l_tax", "l_returnflag", "l_linestatus")
-    described = observed.describe(rows, spark, folder, vehicle=False, place=False)
-    columns = observed.lot_columns(False, False)
-    found = described.select(
-        *[columns[c].alias(c) for c in ("id", "source", "source_auction_id", "canonical_url", "ended_at")], *observed.AGE
-    ).withColumns({"mode": F.lit("incremental"), "ord": F.struct(*observed.AGE, "id")})
+    found = _discovered(spark, folder)
     counters = found.groupBy("source", "mode").agg(F.count(F.lit(1)).alias("records_found"))
     state = tallies.state_snapshot(found, counters, "success", F.lit("2026-01-01").cast("timestamp"))
     part = lambda name: F.col("state")[name]
@@ -469,11 +462,31 @@ def _(spark, folder):
         part("records_found").alias("records_found"),
         part("oldest_ended_at").alias("oldest_ended_at"),
         part("newest_ended_at").alias("newest_ended_at"),
-        F.sha2(part("auction_ids_discovered"), 256).alias("ids"),
-        F.sha2(part("auction_urls_discovered"), 256).alias("urls"),
+        part("auction_ids_discovered").alias("ids"),
+        part("auction_urls_discovered").alias("urls"),
     )
 
 
+@register(
+    "crawl_discoveries",
+    LOTS + """SELECT source, 'incremental' AS mode, 'run-1' AS run_id, kind, value FROM (
+ SELECT source, 'auction_id' AS kind, source_auction_id AS value FROM lots
+ UNION ALL SELECT source, 'auction_url', canonical_url FROM lots) WHERE value IS NOT NULL""",
+)
+def _(spark, folder):
+    found = _discovered(spark, folder).withColumn("run_id", F.lit("run-1"))
+    return tallies.discoveries(found)
+
+
+def _discovered(spark, folder):
+    rows = observed.latest_lineitems(spark, folder, "l_extendedprice", "l_quantity", "l_tax", "l_returnflag", "l_linestatus")
+    described = observed.describe(rows, spark, folder, vehicle=False, place=False)
+    columns = observed.lot_columns(False, False)
+    return described.select(
+        *[columns[c].alias(c) for c in ("id", "source", "source_auction_id", "canonical_url", "ended_at")]
+    ).withColumn("mode", F.lit("incremental"))
+
+
 # --- raw pages and targets --------------------------------------------------------------
 
 
@@ -639,11 +652,10 @@ _DETAIL_PRINT = "sha256(concat_ws(chr(31), 'bring_a_trailer', 'bat_detail_page',
     "enqueue_missing_details",
     LOTS + f"""SELECT {_DETAIL_PRINT} AS request_fingerprint, canonical_url AS url, 80 AS priority,
   concat('"', source_auction_id, '"') AS source_auction_id, TRUE AS is_new
-  FROM (SELECT * FROM lots WHERE source = 'bring_a_trailer' AND detail_scraped_at IS NULL
-    ORDER BY ended_at DESC NULLS LAST, created_at DESC NULLS FIRST, id LIMIT 500)""",
+  FROM (SELECT * FROM lots WHERE source = 'bring_a_trailer' AND detail_scraped_at IS NULL)""",
 )
 def _(spark, folder):
-    missing = paging.lots_without_detail(observed.lots(spark, folder), "bring_a_trailer", 500)
+    missing = paging.lots_without_detail(observed.lots(spark, folder), "bring_a_trailer")
     found = targets.detail_targets(missing.withColumn("ord", F.col("ended_at")))
     nothing = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in TARGET_FIELDS.items()))
     queued = targets.enqueue(nothing, found, F.lit("2024-02-01").cast("timestamp"))

@@ -16,8 +16,6 @@ REQUIRED_CONF = {
     # A page far beyond the first ones is sorted by range instead of being held in
     # one heap per task and merged on the driver.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
-    # "First 5000 per source" keeps 5000 rows per task before the shuffle, not the whole group.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

@@ -69,7 +69,7 @@ def test_targets_share_a_fingerprint(spark):
     seeded = targets.seed_targets(seeds.make_entries(spark), ["audi", "bmw"]).collect()
     assert [(r.url, r.priority) for r in seeded] == [("https://bringatrailer.com/audi/", 20), ("https://bringatrailer.com/bmw/", 20)]
     limits = spark.range(1).select(
-        targets.page_limit(F.lit(9), "incremental").alias("a"), targets.page_limit(F.lit(9), "backfill").alias("b"))
+        targets.page_limit(F.lit(9), "incremental", 5).alias("a"), targets.page_limit(F.lit(9), "backfill", 5).alias("b"))
     assert tuple(limits.first()) == (5, 9)
 
 
