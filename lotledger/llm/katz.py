@@ -32,7 +32,7 @@ from lotledger.llm.words import mixed, word_hashes
 
 ship(__name__)
 
-FOLDS, MOST, SHARD, KEY_BYTES = 10, 5, 1 << 20, 5
+FOLDS, MOST, SHARD, KEY_BYTES, FINE = 10, 5, 1 << 20, 5, 1 << 44
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF)
 WORDS, BIGRAMS, HOT_PART, HOT_ASKED, HOT, TOTALS = range(6)
 ANSWER = pa.schema([
@@ -221,6 +221,7 @@ def _bigram_answers(unigrams: Unigrams) -> Callable:
         facts = [np.bincount(history[one], seen == r, minlength=n).astype(np.int64) for r in range(1, MOST + 1)]
         facts.append(np.bincount(history[one], seen * (seen > MOST), minlength=n).astype(np.int64))
         mass = np.bincount(history[one], unigrams(lower[one]), minlength=n)
+        fine = np.rint(mass * FINE).astype(np.int64)  # few distinct bytes, right to 3e-14
         part, salt = group.column("part")[0].as_py(), group.column("salt")[0].as_py()
         rows = [(-1, TOTALS, BIGRAMS, 0, None, _totals(seen), None)]
         stops = np.cumsum([int(s.sum()) for s in sizes])
@@ -229,7 +230,7 @@ def _bigram_answers(unigrams: Unigrams) -> Callable:
             if salt:
                 rows += [(unit, HOT_ASKED, None, 0, None, [int(h)], None) for h in distinct[own].view(np.int64)]
             else:
-                blocks += [planes(x[own]) for x in facts] + [mass[own].tobytes()]
+                blocks += [planes(x[own]) for x in facts] + [planes(fine[own])]
             rows.append((unit, BIGRAMS, part, salt, joined(blocks), None, None))
         if salt:
             for k, h in enumerate(distinct.view(np.int64)):
@@ -264,7 +265,7 @@ def _scored(own: Tokens, answers: pa.Table, bits: int, unigrams: Unigrams, kept:
         if len(blocks) > 1:
             history, _ = _histories(asked.history[at])
             facts[:, history] = [unplanes(x, np.int64) for x in blocks[1:-1]]
-            mass[history] = np.frombuffer(blocks[-1])
+            mass[history] = unplanes(blocks[-1], np.int64) / FINE
     for (h, *numbers), share in hot:
         k = int(np.searchsorted(asked.hashes, np.array([h], np.int64).view(np.uint64))[0])
         facts[:, k], mass[k] = numbers, share
