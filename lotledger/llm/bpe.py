@@ -226,12 +226,21 @@ def encode(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(file, pattern), "doc_id long, ids array<int>")
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most `most` ids each, or one text."""
+    stops = batch.column("ids").offsets.to_numpy()
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(stops, stops[first] + most, side="right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _digested(file: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file, pattern)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for part in _parts(batch, 1 << 18):
                 lists = part.column("ids")
                 ids, offsets = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 view = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
