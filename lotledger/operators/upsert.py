@@ -32,7 +32,8 @@ RAW_KEY = ["source", "source_auction_id", "canonical_url"]
 class Upsert:
     """`lots`: new state of all touched lots, with `inserted` and `record_count`.
     `identities`: lot id of every (source, auction id, url) of the batch.
-    `conflicts`: identities that point at more than one lot; their records are not merged.
+    `conflicts`: the whole records, with their order, whose identity points at another lot as well
+    (`lot_id` is that of their auction id); they are not merged.
     """
 
     lots: DataFrame
@@ -51,37 +52,44 @@ def resolve_identities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     The auction id decides, then the url. Instead of one OR join (a nested loop) there are
     two equi joins against the three identity columns of the table.
+
+    A url belongs to one auction id: that of the stored lot if the batch names it, else the smallest
+    of the batch. Other ids on it are in conflict (`url_shared_by_ids`), and so is an id whose
+    lot is not the one stored under the url (`id_and_url_disagree`). That concerns the one combination
+    only: other urls of the id, and records without id on the url, keep their lots.
     """
     raw = incoming.select(
         "source", F.nullif(F.col("source_auction_id"), F.lit("")).alias("source_auction_id"), "canonical_url"
     ).distinct()
-    by_url = raw.where(F.col("source_auction_id").isNotNull()).groupBy("source", "canonical_url").agg(
-        F.min("source_auction_id").alias("_url_id"), F.max("source_auction_id").alias("_other_id")
-    )
     known = existing.select(
         "source", F.nullif(F.col("source_auction_id"), F.lit("")).alias("_known_id"), "canonical_url", "id"
     )
     id_side = known.where(F.col("_known_id").isNotNull()).select(
         "source", F.col("_known_id").alias("_id"), F.col("id").alias("_match_id")
     )
-    url_side = known.select("source", "canonical_url", F.col("id").alias("_match_url"))
+    url_side = known.select("source", "canonical_url", F.col("_known_id").alias("_holder"), F.col("id").alias("_match_url"))
+    own_id, url_lot = F.col("source_auction_id"), F.col("_match_url")
+    by_url = raw.join(url_side, ["source", "canonical_url"], "left")
+    other = (~own_id.eqNullSafe(F.col("_holder"))).alias("other")
+    owners = by_url.where(own_id.isNotNull()).groupBy("source", "canonical_url").agg(
+        F.min(F.struct(other, own_id.alias("owner")))["owner"].alias("_owner")
+    )
     matched = (
-        raw.join(by_url, ["source", "canonical_url"], "left")
-        .withColumn("_id", F.coalesce("source_auction_id", "_url_id"))
+        by_url.join(owners, ["source", "canonical_url"], "left")
+        .withColumn("_id", F.coalesce(own_id, "_owner"))
+        .withColumn("_shared", F.coalesce(own_id != F.col("_owner"), F.lit(False)))
         .join(id_side, ["source", "_id"], "left")
-        .join(url_side, ["source", "canonical_url"], "left")
         .withColumn("_member", batch_key(F.col("source"), F.col("_id"), F.col("canonical_url")))
     )
     # All urls of one auction id belong to the same lot, also when only one of them is known.
-    shared = matched.groupBy("_member").agg(
-        F.min(F.least("_match_id", "_match_url")).alias("_low"),
-        F.max(F.greatest("_match_id", "_match_url")).alias("_high"),
+    members = matched.groupBy("_member").agg(
+        F.coalesce(F.min("_match_id"), F.min(F.when(~F.col("_shared"), url_lot)), lot_id(F.col("_member"))).alias("_lot")
     )
-    return matched.join(shared, "_member").select(
+    return matched.join(members, "_member").select(
         *RAW_KEY,
-        F.coalesce("_low", lot_id(F.col("_member"))).alias("lot_id"),
-        F.when(F.col("_url_id") != F.col("_other_id"), "url_shared_by_ids")
-        .when(F.col("_low") != F.col("_high"), "id_and_url_disagree")
+        F.when(own_id.isNull(), F.coalesce(url_lot, "_lot")).otherwise(F.col("_lot")).alias("lot_id"),
+        F.when(F.col("_shared"), "url_shared_by_ids")
+        .when(own_id.isNotNull() & (url_lot != F.col("_lot")), "id_and_url_disagree")
         .alias("conflict"),
     )
 
@@ -139,10 +147,8 @@ def _final_field(name: str) -> Column:
 def upsert_lots(existing: DataFrame, incoming: DataFrame, now: Column, order: str = "ord") -> Upsert:
     """Merge records (RECORD_FIELDS and a column that orders them) into the lot table."""
     identities = resolve_identities(existing, incoming)
-    good = identities.where(F.col("conflict").isNull()).select(
-        F.concat_ws("\u001f", "source", F.coalesce("source_auction_id", F.lit("")), "canonical_url").alias("raw"),
-        "lot_id",
-    )
+    good = identities.where(F.col("conflict").isNull()).select(_raw_key().alias("raw"), "lot_id")
+    bad = identities.where(F.col("conflict").isNotNull()).select(_raw_key().alias("raw"), "lot_id", "conflict")
     records = incoming.select(
         _raw_key().alias("raw"), *RECORD_FIELDS, F.struct(F.lit(1).alias("batch"), F.col(order).alias("ord")).alias("at")
     )
@@ -184,7 +190,7 @@ def upsert_lots(existing: DataFrame, incoming: DataFrame, now: Column, order: st
     return Upsert(
         lots=lots,
         identities=identities.where(F.col("conflict").isNull()).drop("conflict"),
-        conflicts=identities.where(F.col("conflict").isNotNull()),
+        conflicts=incoming.select(_raw_key().alias("raw"), *RECORD_FIELDS, order).join(bad, "raw").drop("raw"),
     )
 
 
@@ -205,29 +211,29 @@ def run_counters(records: DataFrame, identities: DataFrame, existing: DataFrame,
     """Found, inserted and updated records per run.
 
     A lot counts as inserted for the run that brings its first record, when the table does
-    not hold it yet; every other record is an update.
+    not hold it yet; every other record is an update. Records without an identity here (those in
+    conflict) are found, but neither inserted nor updated.
     """
     raw = records.select("run_id", _raw_key().alias("raw"), F.col(order).alias("ord"))
     per_run = raw.groupBy("run_id", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
-    known = identities.select(
-        F.concat_ws("\u001f", "source", F.coalesce("source_auction_id", F.lit("")), "canonical_url").alias("raw"),
-        "lot_id",
-    )
-    placed = per_run.join(known, "raw")
+    placed = per_run.join(identities.select(_raw_key().alias("raw"), "lot_id"), "raw", "left")
     firsts = (
-        placed.groupBy("lot_id")
+        placed.where(F.col("lot_id").isNotNull())
+        .groupBy("lot_id")
         .agg(F.min_by("run_id", "ord").alias("run_id"))
         .join(existing.select(F.col("id").alias("lot_id")), "lot_id", "left_anti")
         .groupBy("run_id")
         .agg(F.count(F.lit(1)).alias("inserted"))
     )
-    found = placed.groupBy("run_id").agg(F.sum("n").alias("records_found"))
+    found = placed.groupBy("run_id").agg(
+        F.sum("n").alias("records_found"), F.sum(F.when(F.col("lot_id").isNull(), F.col("n")).otherwise(0)).alias("_open")
+    )
     inserted = F.coalesce("inserted", F.lit(0).cast("long"))
     return found.join(firsts, "run_id", "left").select(
         "run_id",
         "records_found",
         inserted.alias("records_inserted"),
-        (F.col("records_found") - inserted).alias("records_updated"),
+        (F.col("records_found") - F.col("_open") - inserted).alias("records_updated"),
     )
 
 

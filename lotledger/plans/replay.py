@@ -32,12 +32,18 @@ class Parsed:
     anomalies: DataFrame
 
 
+def answered(pages: DataFrame) -> DataFrame:
+    """Pages that hold what was asked for: refused and failed requests are stored, but never parsed."""
+    good = F.coalesce(F.col("status_code") < 400, F.lit(True))
+    return pages.where(good & (F.coalesce("fetch_error", F.lit("")) == ""))
+
+
 def list_pages(pages: DataFrame) -> DataFrame:
-    return pages.where((F.col("source") == FIRST_SITE) & (F.col("target_type") != DETAIL_PAGE))
+    return answered(pages).where((F.col("source") == FIRST_SITE) & (F.col("target_type") != DETAIL_PAGE))
 
 
 def detail_pages_of(pages: DataFrame) -> DataFrame:
-    return pages.where((F.col("source") == FIRST_SITE) & (F.col("target_type") == DETAIL_PAGE))
+    return answered(pages).where((F.col("source") == FIRST_SITE) & (F.col("target_type") == DETAIL_PAGE))
 
 
 def _page_order(position: Column) -> Column:
@@ -79,9 +85,8 @@ def parse_list_pages(
     records = list_items.accepted(parsed).withColumn("ord", _page_order(F.col("pos")))
     merged = upsert.upsert_lots(lots, records.select(*RECORD_FIELDS, "ord"), now)
 
-    placed = records.select(
-        "raw_page_id", *[F.col(c) for c in upsert.RAW_KEY]
-    ).join(
+    # Each page's distinct identities: a lot with very many records costs one row per page.
+    placed = records.select("raw_page_id", *upsert.RAW_KEY).distinct().join(
         merged.identities.withColumnRenamed("source_auction_id", "_id"),
         ["source", "canonical_url"],
     ).where(F.col("_id").eqNullSafe(F.nullif(F.col("source_auction_id"), F.lit(""))))
@@ -138,7 +143,9 @@ def parse_detail_pages(
     counts = records.groupBy("raw_page_id").agg(
         F.count(F.lit(1)).alias("records_found"), F.count(F.lit(1)).alias("records_updated")
     )
-    failed = read.where("detail_error").select("raw_page_id", F.lit(True).alias("_failed"))
+    # A page with an unreadable bullet, or one that fits several lots, is an error.
+    unread = read.where("detail_error").select("raw_page_id").union(rejects.select("raw_page_id")).distinct()
+    failed = unread.withColumn("_failed", F.lit(True))
     shown = detail_pages_of(pages).select(F.col("id").alias("raw_page_id")).join(failed, "raw_page_id", "left")
     spark = pages.sparkSession
     no_targets = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in TARGET_FIELDS.items()))

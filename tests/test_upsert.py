@@ -111,19 +111,46 @@ def test_identity(spark):
         record(source_auction_id="9", canonical_url="https://u/9"),
         record(source_auction_id="", canonical_url="https://u/9"),
         record(source_auction_id="1", canonical_url="https://u/3"),  # id and url disagree
+        record(source_auction_id=None, canonical_url="https://u/3"),  # the url's stored lot, whatever the row before
         record(source_auction_id="7", canonical_url="https://u/7"),
         record(source_auction_id="8", canonical_url="https://u/7"),  # two ids on one url
     ]
     result = upsert.resolve_identities(existing, frame(spark, rows)).collect()
     found = {(r.source, r.source_auction_id, r.canonical_url[-1]): (r.lot_id, r.conflict) for r in result}
-    assert found[("a", None, "1")][1] is None or found[("a", None, "1")][0]
-    assert {r.conflict for r in result if r.canonical_url.endswith("/7")} == {"url_shared_by_ids"}
-    assert {r.conflict for r in result if r.source_auction_id == "1" and r.source == "a"} == {"id_and_url_disagree"}
+    assert found[("a", None, "1")] == found[("a", "1", "w")] == found[("a", None, "w")] == ("one", None)
+    assert found[("a", "7", "7")][1] is None and found[("a", "8", "7")][1] == "url_shared_by_ids"
+    assert found[("a", "1", "3")] == ("one", "id_and_url_disagree")
+    assert found[("a", None, "3")] == ("three", None)
     assert found[("a", "2", "2")] == ("two", None)
     assert found[("b", "1", "1")][1] is None and len(found[("b", "1", "1")][0]) == 64
     assert found[("a", "9", "9")][0] == found[("a", None, "9")][0]
 
 
+def test_conflicts_lose_no_record(spark):
+    existing = stored(spark, [
+        {**record(source_auction_id="1", canonical_url="https://u/1"), "id": "one"},
+        {**record(source_auction_id="5", canonical_url="https://u/5"), "id": "five"},
+    ])
+    rows = [
+        record(source_auction_id="A", canonical_url="https://u/s", high_bid=1),
+        record(source_auction_id="B", canonical_url="https://u/s", high_bid=2, title="whole", vehicle_details={"k": "v"}),
+        record(source_auction_id=None, canonical_url="https://u/s", high_bid=3),
+        record(source_auction_id="B", canonical_url="https://u/b", high_bid=4),  # the id's other url is merged
+        record(source_auction_id="1", canonical_url="https://u/5", high_bid=5),  # disagrees with the stored lot
+        record(source_auction_id="5", canonical_url="https://u/5", high_bid=6),
+        record(source_auction_id="1", canonical_url="https://u/1", high_bid=7),
+    ]
+    batch = frame(spark, rows)
+    result = upsert.upsert_lots(existing, batch, now())
+    lots = {(r.source_auction_id, r.canonical_url[-1]): (r.high_bid, r.record_count) for r in result.lots.collect()}
+    assert lots == {(None, "s"): (3, 2), ("B", "b"): (4, 1), ("5", "5"): (6, 1), ("1", "1"): (7, 1)}
+    apart = {r.ord: r for r in result.conflicts.collect()}
+    assert {k: r.conflict for k, r in apart.items()} == {1: "url_shared_by_ids", 4: "url_shared_by_ids"}
+    assert (apart[1].title, apart[1].high_bid, apart[1].vehicle_details) == ("whole", 2, {"k": "v"})
+    counted = upsert.run_counters(batch.withColumn("run_id", F.lit("r")), result.identities, existing).first()
+    assert tuple(counted) == ("r", 7, 2, 3)
+
+
 def test_detail_survives_a_later_list_record(spark):
     seen = datetime(2026, 3, 1)
     detailed = record(source_auction_id="1", vin="V", mileage=5, bid_count=3, sold_price=10, detail_html="h",
