@@ -316,6 +316,59 @@ def _(spark, folder):
     return upsert.run_counters(records, known, stored)
 
 
+def _on_shared_urls(spark, folder):
+    """Late records under a url per part, which several auction ids share; the run is the month."""
+    _, late = _early_and_late(spark, folder)
+    shared = late.withColumn("canonical_url", F.col("image_urls")[0])
+    return shared.withColumn("run_id", F.date_format("ended_at", "yyyy-MM"))
+
+
+# The smallest auction id of a url owns it; records without id follow the url.
+_SHARED = LOTS + _SPLIT + """, shared AS (SELECT source, source_auction_id, split_part(images, ' ', 1) AS canonical_url, ord, high_bid,
+   strftime(ended_at, '%Y-%m') AS run_id FROM late),
+owned AS (SELECT *, min(source_auction_id) OVER (PARTITION BY source, canonical_url) AS owner FROM shared),
+judged AS (SELECT *, coalesce(source_auction_id <> owner, FALSE) AS apart, sha256(CASE WHEN coalesce(source_auction_id, owner) IS NULL
+   THEN concat(source, ':url:', canonical_url) ELSE concat(source, ':id:', coalesce(source_auction_id, owner)) END) AS lot_id FROM owned)
+"""
+
+
+@register(
+    "conflicting_records",
+    _SHARED + """SELECT source, source_auction_id, canonical_url, high_bid, lot_id, 'url_shared_by_ids' AS conflict
+FROM judged WHERE apart""",
+)
+def _(spark, folder):
+    records = _on_shared_urls(spark, folder)
+    none = _early_and_late(spark, folder)[0].where(F.lit(False))
+    found = upsert.upsert_lots(none, records, F.lit("2026-01-01").cast("timestamp")).conflicts
+    return found.select("source", "source_auction_id", "canonical_url", "high_bid", "lot_id", "conflict")
+
+
+@register(
+    "lots_beside_conflicts",
+    _SHARED + """SELECT lot_id AS id, count(*) AS record_count, arg_max(high_bid, ord) AS high_bid FROM judged WHERE NOT apart GROUP BY 1""",
+)
+def _(spark, folder):
+    records = _on_shared_urls(spark, folder)
+    none = _early_and_late(spark, folder)[0].where(F.lit(False))
+    return upsert.upsert_lots(none, records, F.lit("2026-01-01").cast("timestamp")).lots.select("id", "record_count", "high_bid")
+
+
+@register(
+    "run_counters_with_conflicts",
+    _SHARED + """, firsts AS (SELECT lot_id, arg_min(run_id, ord) AS run_id FROM judged WHERE NOT apart GROUP BY lot_id),
+ added AS (SELECT run_id, count(*) AS m FROM firsts GROUP BY 1),
+ found AS (SELECT run_id, count(*) AS n, count(*) FILTER (NOT apart) AS placed FROM judged GROUP BY 1)
+SELECT run_id, n AS records_found, coalesce(m, 0) AS records_inserted, placed - coalesce(m, 0) AS records_updated
+FROM found LEFT JOIN added USING (run_id)""",
+)
+def _(spark, folder):
+    records = _on_shared_urls(spark, folder)
+    none = _early_and_late(spark, folder)[0].where(F.lit(False))
+    known = upsert.resolve_identities(none, records)
+    return upsert.run_counters(records, known.where(F.col("conflict").isNull()), none)
+
+
 @register(
     "records_not_persisted",
     LOTS + _SPLIT + """SELECT source, source_auction_id, canonical_url, ended_at FROM late

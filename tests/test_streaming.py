@@ -75,6 +75,18 @@ def test_stream_parses_each_page_once_and_keeps_progress(spark, tmp_path):
     assert _state(spark, store) == EXPECTED and _runs(spark, store) == expected_runs
 
 
+def test_refused_pages_are_kept_but_not_parsed(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    first, second, _ = _pages(spark)
+    refused = first.withColumns({"id": F.lit("9"), "status_code": F.lit(429)})
+    failed = second.withColumns({"id": F.lit("8"), "fetch_error": F.lit("timed out")})
+    ingest_pages(first.unionByName(refused).unionByName(failed), store, "000000000", buckets=4)
+    assert {r.id for r in spark.read.parquet(store.table("landed")).collect()} == {"1", "8", "9"}
+    assert set(_runs(spark, store)) == {"1"}
+    raised = spark.read.option("basePath", store.table("anomalies")).parquet(f"{store.table('anomalies')}/batch=000000000-fetch")
+    assert [(r.code, r.severity, r.metadata["status_code"]) for r in raised.collect()] == [("blocked_response", "critical", "429")]
+
+
 def test_feed_counts_update_with_the_stream(spark, tmp_path):
     folder = str(tmp_path / "logs")
 
