@@ -111,8 +111,10 @@ def test_order_and_pages(odd):
             walked += [r.id for r in rows]
             last = {k.column: rows[-1][k.column] for k in keys}
         assert walked == order(sort)
-    with pytest.raises(ValueError):
-        paging.page(odd, 1, 201, paging.sort_keys())
+    assert ids(paging.page(odd, 1, 1000, paging.sort_keys())) == order("ended_at_desc")  # pages have no greatest size
+    for number, size in ((0, 10), (1, 0)):
+        with pytest.raises(ValueError):
+            paging.page(odd, number, size, paging.sort_keys())
 
 
 def test_profile_matches_sorted_middle(spark):
