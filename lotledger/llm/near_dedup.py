@@ -1,15 +1,15 @@
 """Near copies by bottom-k sketches of one hash function.
 
 A document's set holds its distinct 5-word shingles (A-Z in lower case; with fewer words: the whole sequence). Documents are
-linked where 100 * intersection >= 85 * union; the operator gives the connected components.
+linked where 100 * intersection >= percent * union (85 unless the caller says otherwise); the operator gives the connected components.
 
 1. Sketch: the `K` smallest hashes of the set. Documents with one and the same set are one class from here on.
-2. Inverted lists of the retained values. Linked classes share half of their sketch values or more (the chance of less is under
-   1e-9 for a pair right at the threshold), so each class is looked up by its rarest values only, as many as can't all be
-   missed then. Values of a passage that very many documents hold are hardly ever among them.
+2. Inverted lists of the retained values. Linked classes share `fewest` of 64 sketch values or more (half of them at 85 %, 30 at
+   80 %; the chance of less is under 1e-9 for a pair right at the threshold), so each class is looked up by its rarest values
+   only, as many as can't all be missed then. Values of a passage that very many documents hold are hardly ever among them.
 3. Each list links its members to one of them, the one that shares most of its values, not to each other. Candidates pass the
    estimate from the union sketch, then the exact test on full sets. Where a list still holds several components, its members'
-   full sets are searched without loss: a link needs 85 % of a set's shingles in common, so sets that share fewer drop out, and the
+   full sets are searched without loss: a link needs `percent` of a set's shingles in common, so sets that share fewer drop out, and the
    rarest shingles of the others, with their positions, tell the few pairs left to test.
 4. Components by star contraction.
 
@@ -21,7 +21,8 @@ result. Other columns are not read. Ties cannot occur: component_id is the small
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,16 @@ ship(__name__)
 WORDS, K, PERCENT = 5, 64, 85
 
 
+def fewest(percent: int) -> int:
+    """So many of the K values of a union sketch, at most half, that a pair right at the threshold has less with a chance under 1e-9."""
+    p, missed = percent / 100, 0.0
+    for n in range(K // 2):
+        missed += math.comb(K, n) * p**n * (1 - p) ** (K - n)
+        if missed >= 1e-9:
+            return n
+    return K // 2
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted 63-bit hashes of each text's set."""
     hashes, counts = word_hashes(texts, lower=True)
@@ -74,7 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>, text_hash long")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def inverted_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """value, node, core: the rarest retained values of each class, those no other class has left out. core: the share of values others have."""
     size = F.size("sketch")
     postings = classes.select("node", size.alias("size"), F.explode("sketch").alias("value"))
@@ -85,12 +96,12 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
         F.row_number().over(own.orderBy("n", "value")).alias("place"),
         F.count("*").over(own).alias("shared"),
     )
-    few = F.col("place") <= F.col("shared") - F.ceil(F.col("size") / 2) + 1
+    few = F.col("place") <= F.col("shared") - F.ceil(F.col("size") * fewest(percent) / K) + 1
     return ranked.where(few).select("value", "node", (F.col("shared") / F.col("size")).alias("core"))
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the union sketch puts at half or more, and whose sizes allow a link."""
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that share `fewest` of K values of the union sketch or more, and whose sizes allow a link."""
     known = classes.select("node", F.col("n_shingles").alias("n"), "sketch")
 
     def side(name: str) -> DataFrame:
@@ -100,8 +111,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     return (
-        pairs.join(side("a"), "a").join(side("b"), "b").where(100 * small >= PERCENT * large)
-        .withColumn("u", union).where(2 * shared >= F.size("u")).select("a", "b")
+        pairs.join(side("a"), "a").join(side("b"), "b").where(100 * small >= percent * large)
+        .withColumn("u", union).where(K * shared >= fewest(percent) * F.size("u")).select("a", "b")
     )
 
 
@@ -114,25 +125,28 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["node", "text"]).filter(fits)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact test on full sets; rows that follow each other with one and the same node reuse its set."""
-    kept: dict[int, np.ndarray] = {}
-    for batch in batches:
-        nodes = [batch.column(c).to_pylist() for c in ("a", "b")]
-        good = []
-        for row, (a, b) in enumerate(zip(*nodes, strict=True)):
-            for node, column in ((a, "text_a"), (b, "text_b")):
-                if node not in kept:
-                    if len(kept) > 64:
-                        kept.clear()
-                    kept[node] = shingle_sets(batch.column(column).slice(row, 1))[0]
-            if a in kept and b in kept:
-                x, y = kept[a], kept[b]
-            else:
-                x, y = (shingle_sets(batch.column(c).slice(row, 1))[0] for c in ("text_a", "text_b"))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _linked(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact test on full sets; rows that follow each other with one and the same node reuse its set."""
+        kept: dict[int, np.ndarray] = {}
+        for batch in batches:
+            nodes = [batch.column(c).to_pylist() for c in ("a", "b")]
+            good = []
+            for row, (a, b) in enumerate(zip(*nodes, strict=True)):
+                for node, column in ((a, "text_a"), (b, "text_b")):
+                    if node not in kept:
+                        if len(kept) > 64:
+                            kept.clear()
+                        kept[node] = shingle_sets(batch.column(column).slice(row, 1))[0]
+                if a in kept and b in kept:
+                    x, y = kept[a], kept[b]
+                else:
+                    x, y = (shingle_sets(batch.column(c).slice(row, 1))[0] for c in ("text_a", "text_b"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 class _Texts:
@@ -144,10 +158,10 @@ class _Texts:
         own = ids.join(text, "id").select("node", "digest", "text").mapInArrow(_own_text, "node long, text string")
         self.rows = stored(own.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
         a = self.rows.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = self.rows.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(percent), "a long, b long")
 
 
 NO_ID = (1 << 63) - 1
@@ -176,11 +190,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of list members in different components that a link is possible for, by prefix, size and position of full sets.
 
     In the order from the rarest shingle on, linked sets of n and m shingles have a first common one among the first
-    n - 0.85 n + 1 of either, and from there on enough shingles left for the intersection, 0.85 / 1.85 (n + m).
+    n - p n + 1 of either (p = percent / 100), and from there on enough shingles left for the intersection, p / (1 + p) (n + m).
     """
     told = lists.select("value", "node").join(labels, "node", "left").select("value", "node", F.coalesce("label", "node").alias("label"))
     several = told.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("value")
@@ -192,18 +206,18 @@ def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
         "node", "label", "n", "value", (F.col("x") < F.col("y")).alias("open"),
         F.row_number().over(own.orderBy("many", "value")).alias("place"), F.count("*").over(own).alias("shared"),
     )
-    least = F.ceil(F.col("n") * PERCENT / 100)
+    least = F.ceil(F.col("n") * percent / 100)
     prefix = ranked.where("open").where((F.col("shared") >= least) & (F.col("place") <= F.col("shared") - least + 1))
     prefix = stored(prefix.select("node", "label", "n", "value", (F.col("n") - F.col("shared") + F.col("place")).alias("at")), "prefix")
     one, two = (prefix.select("value", *[F.col(c).alias(c + k) for c in ("node", "label", "n", "at")]) for k in "12")
     small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
     left = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    fits = (100 * small >= PERCENT * large) & ((100 + PERCENT) * left >= PERCENT * (F.col("n1") + F.col("n2")))
+    fits = (100 * small >= percent * large) & ((100 + percent) * left >= percent * (F.col("n1") + F.col("n2")))
     return one.join(two, "value").where((F.col("label1") < F.col("label2")) & fits).select(*_ordered(F.col("node1"), F.col("node2"))).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash for every row of docs."""
+def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of docs. Links are similarities of `percent` or more."""
     every = stored(sketches(docs), "sketches")
     classes = stored(
         every.where("n_shingles > 0").groupBy("digest")
@@ -211,12 +225,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    lists = stored(inverted_lists(classes), "lists")
-    stars = stored(likely(_stars(lists), classes), "likely")
+    lists = stored(inverted_lists(classes, percent), "lists")
+    stars = stored(likely(_stars(lists), classes, percent), "likely")
     texts = _Texts(docs, classes, lists.select("node").distinct())
-    links = stored(texts.linked(stars), "linked")
-    rest = likely(_rest(lists, connected(links), texts.rows).join(stars, ["a", "b"], "left_anti"), classes)
-    labels = connected(links.union(texts.linked(rest)))
+    links = stored(texts.linked(stars, percent), "linked")
+    rest = likely(_rest(lists, connected(links), texts.rows, percent).join(stars, ["a", "b"], "left_anti"), classes, percent)
+    labels = connected(links.union(texts.linked(rest, percent)))
     ends = labels.join(classes.select("node", "least_id"), "node").select("label", "least_id")
     ends = ends.union(labels.select("label").distinct().join(classes.select(F.col("node").alias("label"), "least_id"), "label"))
     least = ends.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -229,8 +243,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all columns, that are kept."""
-    gone = near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("llm_doc_id"), F.col("text_hash").alias("llm_text_hash")).distinct()
+    gone = near_copies(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("llm_doc_id"), F.col("text_hash").alias("llm_text_hash")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("llm_doc_id")) & (F.xxhash64("text") == F.col("llm_text_hash"))
     return docs.join(gone, same, "left_anti")
