@@ -4,7 +4,8 @@ A fingerprint holds, for each of `PERMUTATIONS` universal hash functions (a x +
 over the text's 5-word shingles (A-Z in lower case; with fewer words: the whole sequence), 16 bits of each, in hex. The likeness
 of two fingerprints is the share of equal places and estimates the Jaccard similarity.
 
-`near_pairs` joins bands of the signatures in Spark and verifies the Jaccard similarity on full sets.
+`near_pairs` joins bands of the signatures in Spark and verifies the Jaccard similarity on full sets; what a band's centre leaves open
+is searched as in near_dedup.
 `edited_and_next` compares every document with its edited text and with the next document, in ascending doc_id: documents are dealt
 into ranges of ids, each range also gets the first document after it, and every range is read in order once.
 
@@ -21,11 +22,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotledger.llm.near_dedup import shingle_sets
-from lotledger.llm.tables import ship, slices, texts_of
+from lotledger.llm import near_dedup
+from lotledger.llm.components import connected
+from lotledger.llm.near_dedup import NO_ID, shingle_sets
+from lotledger.llm.tables import ship, slices, stored, texts_of
 from lotledger.llm.words import sequence_hashes, window_hashes, word_hashes
 
 ship(__name__)
@@ -144,7 +147,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for row in own
             ]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(keys, pa.list_(pa.binary()))], ["doc_id", "bands"]
+                [part.column("node"), pa.array(keys, pa.list_(pa.binary()))], ["node", "bands"]
             ).filter(pa.array(used))
 
 
@@ -163,15 +166,44 @@ def _verified(percent: int) -> Callable:
     return run
 
 
+def _band_lists(texts: DataFrame) -> DataFrame:
+    """value, node, core: the band keys of each class that another class has too. core: how many of them."""
+    keys = texts.mapInArrow(_bands, "node long, bands array<binary>").select("node", F.explode("bands").alias("value"))
+    common = keys.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    return keys.join(common, "value").select("value", "node", F.count("*").over(Window.partitionBy("node")).alias("core"))
+
+
 def near_pairs(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """a < b, jaccard: for each band key its members against its smallest member, verified on full sets.
+    """a, b, jaccard: links that connect all texts which share a band and are similar by `percent` or more. a <= b, null ids are last.
 
-    Texts that are equal link to the smallest id by their bands alike; a key with very many members costs one pair for each.
+    Texts with equal sets are one class, told by pairs of its smallest id with each other one (jaccard 1), and stand in the other pairs by
+    that id. A band key links its classes to one of them; where it still holds several components, full sets are searched without loss.
+    Not listed are further pairs inside a component. A class that has only null ids stands as null; of repeated pairs one is given.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    keys = rows.mapInArrow(_bands, "doc_id long, bands array<binary>").select("doc_id", F.explode("bands").alias("band"))
-    least = keys.groupBy("band").agg(F.min("doc_id").alias("a"))
-    pairs = keys.join(least, "band").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    one = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_verified(percent), "a long, b long, jaccard double")
+    every = stored(near_dedup.sketches(docs).where("n_shingles > 0"), "near-sketches")
+    classes = stored(
+        every.groupBy("digest")
+        .agg(F.min("doc_id").alias("least_id"), F.count("*").alias("many"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "near-classes",
+    )
+    texts = near_dedup._Texts(docs, classes, classes.select("node"))
+    one = texts.rows.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.rows.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").mapInArrow(_verified(percent), "a long, b long, jaccard double")
+
+    lists = stored(_band_lists(texts.rows), "near-lists")
+    stars = stored(near_dedup.likely(near_dedup._stars(lists), classes, percent), "near-stars")
+    links = stored(verified(stars), "near-links")
+    open_ = near_dedup._rest(lists, connected(links), texts.rows, percent).join(stars, ["a", "b"], "left_anti")
+    links = links.union(verified(near_dedup.likely(open_, classes, percent)))
+    ids = classes.select("node", F.coalesce("least_id", F.lit(NO_ID)).alias("id"))
+    ends = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
+    across = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    same = every.select("doc_id", "digest").join(classes.select("digest", "least_id", "many"), "digest").where(
+        ~F.col("doc_id").eqNullSafe(F.col("least_id")) | (F.col("least_id").isNull() & (F.col("many") > 1))
+    )
+    inside = same.select(F.coalesce("least_id", F.lit(NO_ID)).alias("a"), F.coalesce("doc_id", F.lit(NO_ID)).alias("b"), F.lit(1.0).alias("jaccard"))
+    return across.union(inside).distinct().select(F.nullif("a", F.lit(NO_ID)).alias("a"), F.nullif("b", F.lit(NO_ID)).alias("b"), "jaccard")
