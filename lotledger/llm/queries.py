@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, chat, fingerprints, katz, licenses, near_dedup, packing, substring_dedup, topk, toxicity
+from lotledger.llm import bpe, chat, fingerprints, infill, katz, licenses, near_dedup, packing, substring_dedup, topk, toxicity
 from lotledger.llm.tables import table
 from lotledger.plans.registry import Registry
 
@@ -126,3 +126,33 @@ def op9_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+INFILL_SQL = """
+with told as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+),
+numbers as (
+  select *, length(text) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from told
+),
+planned as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+         when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from numbers
+),
+parts as (
+  select *, substring(text, 1, a) as prefix, substring(text, a + 1, b - a) as middle, substring(text, b + 1, n - b) as suffix from planned
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+@REGISTRY.query("op13_seekable_infill", INFILL_SQL)
+def op13_seekable_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(infill.transformed(table(spark, folder, "documents")))

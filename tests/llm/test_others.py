@@ -80,7 +80,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2:3].isdigit() or n == "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2:3].isdigit() or n == "pipeline"}
 
 
 def test_pipeline_stages(spark, docs, nothing, tmp_path):
