@@ -17,17 +17,16 @@ so other columns, whatever their names, change nothing.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotledger.llm.tables import ship, slices, stored, texts_of
-from lotledger.llm.words import raw
+from lotledger.llm.tables import ship, slices, stored, texts_of, worker_cache
 
 ship(__name__)
 
@@ -39,9 +38,12 @@ PLAIN_FROM, SPM_BELOW = 90, 20  # percent of h3 that stay plain, percent of h4 t
 STORE = "frames binary, units array<long>, places array<long>"
 
 
-def _starts(data: np.ndarray | bytes) -> np.ndarray:
-    """Where code points begin among UTF-8 bytes."""
-    return np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+def _zstd() -> dict:
+    """Compressor and decompressor of this worker; making them anew costs more than a short text."""
+    kept = worker_cache("zstd")
+    if not kept:
+        kept["pack"], kept["unpack"] = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+    return kept
 
 
 class Frames:
@@ -66,41 +68,36 @@ class Frames:
         self.units.append(self.n + n)
         self.places.append((self.places[-1] if self.places else 0) + len(frame))
 
-    def write(self, data: bytes, n: int | None = None) -> None:
-        """Append UTF-8 bytes as new frames."""
-        if not data:
-            return
-        starts = _starts(data)
-        edges = [*starts[::FRAME_UNITS].tolist(), len(data)]
-        packer = zstandard.ZstdCompressor(level=LEVEL)
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            self._add(packer.compress(data[a:b]), min(FRAME_UNITS, len(starts) - k * FRAME_UNITS))
+    def write(self, text: str) -> None:
+        """Append a text as new frames."""
+        for a in range(0, len(text), FRAME_UNITS):
+            own = text[a : a + FRAME_UNITS]
+            self._add(_zstd()["pack"].compress(own.encode()), len(own))
 
     def frame(self, k: int) -> bytes:
         """The k-th frame as it is stored."""
         return self.blob[self.places[k - 1] if k else 0 : self.places[k]]
 
-    def text(self, k: int) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self.frame(k))
+    def data(self, k: int) -> bytes:
+        """The UTF-8 bytes of the k-th frame."""
+        return _zstd()["unpack"].decompress(self.frame(k))
 
     def stream(self) -> Iterator[bytes]:
         for k in range(len(self.units)):
-            yield self.text(k)
+            yield self.data(k)
 
     def take(self, source: Frames, first: int, last: int, mark: str = "") -> None:
         """Append a mark and the code points first to last of a store. Whole frames move as they are; only those with a cut inside are decompressed."""
-        held = mark.encode()
-        k = int(np.searchsorted(source.units, first, "right")) if first < last else len(source.units)
+        held = mark
+        k = bisect.bisect_right(source.units, first) if first < last else len(source.units)
         while k < len(source.units) and (before := source.units[k - 1] if k else 0) < last:
             after = source.units[k]
             if first <= before and after <= last:
                 self.write(held)
-                held = b""
+                held = ""
                 self._add(source.frame(k), after - before)
             else:
-                data = source.text(k)
-                edges = np.append(_starts(data), len(data))
-                held += data[edges[max(first - before, 0)] : edges[min(last, after) - before]]
+                held += source.data(k).decode()[max(first - before, 0) : last - before]
             k += 1
         self.write(held)
 
@@ -120,12 +117,10 @@ def _stores(batch: pa.RecordBatch) -> Iterator[Frames]:
 def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", BATCH_BYTES):
-            data, offsets = raw(texts_of(part))
             stores = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                store = Frames()
-                store.write(data[a:b].tobytes())
-                stores.append(store)
+            for text in texts_of(part):
+                stores.append(Frames())
+                stores[-1].write(text.as_py())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([s.n for s in stores], pa.int64()), part.column("marked"), *_rows(stores)],
                 ["doc_id", "n", "marked", "frames", "units", "places"],
@@ -172,21 +167,18 @@ def arrange(source: Frames, form: str, first: int | None, second: int | None) ->
 
 def _places_of(output: Frames, marks: list[str]) -> list[int]:
     """The code point at which the first of each mark begins; marks follow each other in this order and may lie across two frames."""
-    found, held, at = [], b"", 0  # at: code points before held
+    found, held, at = [], "", 0  # at: code points before held
     for data in output.stream():
-        held += data
-        while len(found) < len(marks) and (i := held.find(marks[len(found)].encode())) >= 0:
-            found.append(at + len(_starts(held[:i])))
-            cut = i + len(marks[len(found) - 1])
-            at += len(_starts(held[:cut]))
-            held = held[cut:]
+        held += data.decode()
+        while len(found) < len(marks) and (i := held.find(marks[len(found)])) >= 0:
+            found.append(at + i)
+            at += i + 3
+            held = held[i + 3 :]
         if len(found) == len(marks):
             break
-        keep = max(len(held) - 2, 0)  # a mark has three bytes, all of them code points of their own
-        while 0 < keep < len(held) and held[keep] & 0xC0 == 0x80:
-            keep -= 1
-        at += len(_starts(held[:keep]))
-        held = held[keep:]
+        cut = max(len(held) - 2, 0)  # a mark may go on in the next frame
+        at += cut
+        held = held[cut:]
     return found
 
 

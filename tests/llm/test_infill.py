@@ -30,7 +30,7 @@ def brute(doc_id, text):
 
 def framed(text):
     store = infill.Frames()
-    store.write(text.encode())
+    store.write(text)
     return store
 
 
@@ -59,7 +59,7 @@ def test_texts_come_back(docs, rows):
 def test_whole_frames_move_as_they_are(monkeypatch):
     source = framed(LONG)
     read = []
-    monkeypatch.setattr(infill.Frames, "text", lambda self, k, f=infill.Frames.text: read.append(k) or f(self, k))
+    monkeypatch.setattr(infill.Frames, "data", lambda self, k, f=infill.Frames.data: read.append(k) or f(self, k))
     out = infill.arrange(source, "psm", 100, infill.FRAME_UNITS + 5)
     assert set(read) == {0, 1}
     assert source.frame(2) in (out.frame(k) for k in range(len(out.units)))
