@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, chat, fingerprints, infill, katz, licenses, near_dedup, packing, substring_dedup, topk, toxicity
+from lotledger.llm import bpe, chat, collocations, fingerprints, infill, katz, licenses, near_dedup, packing, substring_dedup, topk, toxicity
 from lotledger.llm.tables import table
 from lotledger.plans.registry import Registry
 
@@ -156,3 +156,51 @@ from parts
 @REGISTRY.query("op13_seekable_infill", INFILL_SQL)
 def op13_seekable_infill(spark: SparkSession, folder: str) -> DataFrame:
     return infill.digests(infill.transformed(table(spark, folder, "documents")))
+
+
+COLLOCATION_SQL = """
+with pieces as (
+  select row_number() over () as piece, lang, words from (
+    select coalesce(lang, 'und') as lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') as words
+    from (
+      select lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\f\\r]')) as piece
+      from documents
+    )
+  ) where len(words) > 0
+),
+totals as (select lang, sum(len(words))::hugeint as n from pieces group by lang),
+grams as (
+  select lang, size, words[i : i + size - 1] as gram
+  from (select lang, words, size, unnest(range(1, len(words) - size + 2)) as i from pieces, (select unnest([1, 2, 3, 4, 5]) as size))
+),
+counts as (select lang, size, array_to_string(gram, ' ') as phrase, count(*)::hugeint as a from grams group by all having count(*) >= 100),
+cuts as (
+  select lang, size, phrase, a, unnest(range(1, size)) as k, string_split(phrase, ' ') as w from counts where size > 1
+),
+scored as (
+  select c.lang, c.size, c.phrase, c.a, c.k, l.a as l, r.a as r, n, (1000 * c.a * n) // (l.a * r.a) as score
+  from cuts c
+  join counts l on l.lang = c.lang and l.phrase = array_to_string(c.w[1 : c.k], ' ')
+  join counts r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ')
+  join totals t on t.lang = c.lang
+),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select distinct lang, a, array_to_string(w[i : i + size - 1], ' ') as phrase
+  from (
+    select lang, a, w, size, unnest(range(1, len(w) - size + 2)) as i
+    from (select lang, a, string_split(phrase, ' ') as w, unnest(range(2, size)) as size from counts where size > 2)
+  )
+),
+ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+  from lowest where (lang, phrase, a) not in (select lang, phrase, a from inside)
+)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked where rank <= 2000
+"""
+
+
+@REGISTRY.query("op12_rabin_karp_collocations", COLLOCATION_SQL)
+def op12_rabin_karp_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

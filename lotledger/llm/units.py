@@ -7,7 +7,7 @@ the table is bucketed, texts never pass a shuffle; only questions and answers do
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +27,28 @@ def _words(part: pa.RecordBatch) -> int:
     return int(word_spans(*raw(texts_of(part)))[2].sum())
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unit = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for part in slices(batch, "text", UNIT_BYTES):
-            rows = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([unit], pa.int64()), pa.array([_words(part)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)],
-                ["unit", "n_words", "rows"],
-            )
-            unit += 1
+def _units(most: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, "text", most):
+                rows = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([unit], pa.int64()), pa.array([_words(part)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)],
+                    ["unit", "n_words", "rows"],
+                )
+                unit += 1
 
+    return run
 
-def in_units(docs: DataFrame) -> DataFrame:
-    """unit, n_words, rows (all columns of docs): about `UNIT_BYTES` of text in each unit, or one document."""
+
+def in_units(docs: DataFrame, most: int = UNIT_BYTES) -> DataFrame:
+    """unit, n_words, rows (all columns of docs): about `most` bytes of text in each unit, or one document."""
     spark = docs.sparkSession
     inner = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"llm_units_{uuid.uuid4().hex}"
-    units = docs.mapInArrow(_units, f"unit long, n_words long, rows array<struct<{inner}>>")
+    units = docs.mapInArrow(_units(most), f"unit long, n_words long, rows array<struct<{inner}>>")
     units.write.bucketBy(buckets, "unit").option("path", store_path(spark, "units")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
