@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotledger.llm import bpe, chat, collocations, fingerprints, infill, katz, licenses, near_dedup, packing, substring_dedup, topk, toxicity
+from lotledger.llm import bpe, chat, collocations, fingerprints, infill, katz, language, licenses, near_dedup, packing, substring_dedup, topk, toxicity
 from lotledger.llm.tables import table
 from lotledger.plans.registry import Registry
 
@@ -204,3 +204,8 @@ from ranked where rank <= 2000
 @REGISTRY.query("op12_rabin_karp_collocations", COLLOCATION_SQL)
 def op12_rabin_karp_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@REGISTRY.query("op11_string_kernel_language")
+def op11_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
