@@ -10,7 +10,8 @@ floor(1000 a n / (l r)), n being all word occurrences; the lowest of them is the
    `ROUNDS`: an n-gram is asked for only if all its parts that were asked before are frequent, as it cannot be more frequent than a part of it.
    So a phrase costs one entry a unit, however frequent it is, and fingerprints that collide can only let too many through.
 3. Where the answers point at a frequent n-gram, its unit counts its occurrences by their words (equal fingerprints with other words are told
-   apart) and gives out the text. The sums over equal texts are the exact counts, and only those of `LEAST` or more stay.
+   apart) and gives out the text, one packed table for each shard of fingerprints. These are merged by text, parts of `MERGED` units first: the
+   sums over equal texts are the exact counts, and only those of `LEAST` or more stay. So each phrase becomes one row once it is summed.
 4. Cuts, parts inside longer phrases and ranks are joins, aggregates and one sort by range. Products are decimals: a and n may reach 10^17.
 
 Null text: empty. Null language: `und`. Empty texts, and texts of separators alone, count nothing. Null or repeated doc_ids play no part, repeated rows count
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ ship(__name__)
 LONGEST, LEAST, TOP, UNKNOWN = 5, 100, 2000, "und"
 ROUNDS = ((1, 2), (3,), (4, 5))
 ROUND_OF = {size: k for k, sizes in enumerate(ROUNDS) for size in sizes}
-UNIT_BYTES, SHARD_WORDS = 4 << 20, 1 << 21
+UNIT_BYTES, SHARD_WORDS, MERGED = 4 << 20, 1 << 21, 1024
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 QUESTION = "shard int, unit long, size int, keys binary, counts binary"
 ANSWER = "unit long, size int, shard int, bits binary"
@@ -192,19 +194,32 @@ def _exact_ids(grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.unique(ids, return_index=True)[1]
 
 
-def _told(shard_bits: int) -> Callable:
+def _blob(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unblob(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+TOLD = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("told", pa.binary())])
+
+
+def _told(shard_bits: int, parts: int) -> Callable:
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
-        """lang, size, phrase and count in the unit of each frequent n-gram; size 0: all words of a language."""
+        """For each shard the frequent n-grams of a unit as a packed table: lang, size, phrase and count in the unit. size 0: all words of a language."""
         out = []
         for k in range(units.num_rows):
             grams = Grams(rows_of(units, k))
+            part = units.column("unit")[k].as_py() % parts
             names = grams.langs.dictionary
             many = np.bincount(grams.lang, minlength=len(names))
-            out.append(pa.table([names, pa.array(np.zeros(len(names)), pa.int32()), pa.nulls(len(names), pa.string()), pa.array(many, pa.int64())], schema=PHRASES))
-            if not len(grams.words):
-                continue
-            known = Known(grams, answers, shard_bits)
-            ids, places = _exact_ids(grams)
+            own = {0: [pa.table([names, pa.array(np.zeros(len(names)), pa.int32()), pa.nulls(len(names), pa.string()), pa.array(many, pa.int64())], schema=PHRASES)]}
+            known = Known(grams, answers, shard_bits) if len(grams.words) else None
+            ids, places = _exact_ids(grams) if known else (None, None)
             vocabulary: dict[int, str] = {}
 
             def word(i: int, grams: Grams = grams, places: np.ndarray = places, vocabulary: dict = vocabulary) -> str:
@@ -212,7 +227,7 @@ def _told(shard_bits: int) -> Callable:
                     vocabulary[i] = grams.data[grams.starts[places[i]] : grams.ends[places[i]]].tobytes().decode()
                 return vocabulary[i]
 
-            for size, (keys, first) in known.frequent.items():
+            for size, (keys, first) in known.frequent.items() if known else ():
                 columns = [grams.lang[first], *(ids[first + j] for j in range(size))]
                 new = np.ones(len(first), bool)
                 new[1:] = keys[1:] != keys[:-1]
@@ -224,19 +239,43 @@ def _told(shard_bits: int) -> Callable:
                 begin = np.flatnonzero(new)
                 phrases = [" ".join(map(word, row)) for row in np.stack([c[begin] for c in columns[1:]], 1).tolist()]
                 counts = np.diff(np.append(begin, len(first)))
-                out.append(pa.table([
+                table = pa.table([
                     names.take(pa.array(columns[0][begin])), pa.array(np.full(len(begin), size), pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64()),
-                ], schema=PHRASES))
-        return pa.concat_tables(out)
+                ], schema=PHRASES)
+                for shard, a, b in _shards(keys[begin], shard_bits):
+                    own.setdefault(shard, []).append(table.slice(a, b - a))
+            out += [(shard, part, _blob(pa.concat_tables(tables))) for shard, tables in own.items()]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(TOLD)], schema=TOLD)
 
     return run
 
 
+def _summed(group: pa.Table) -> pa.Table:
+    """The counts of equal phrases added up, some packed tables at a time."""
+    kept, waiting = None, []
+    for k, told in enumerate(group.column("told"), 1):
+        waiting.append(_unblob(told.as_py()))
+        if k % 64 == 0 or k == group.num_rows:
+            kept = pa.concat_tables([*waiting, *([] if kept is None else [kept])]).group_by(["lang", "size", "phrase"]).aggregate([("a", "sum")])
+            kept, waiting = kept.rename_columns(["lang", "size", "phrase", "a"]).select(PHRASES.names), []
+    return kept
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    return pa.Table.from_arrays([group.column("shard").slice(0, 1), group.column("part").slice(0, 1), pa.array([_blob(_summed(group))], pa.binary())], schema=TOLD)
+
+
+def _final(group: pa.Table) -> pa.Table:
+    """The phrases of one shard that are frequent by their texts, and the words of each language."""
+    sums = _summed(group)
+    return sums.filter(pc.or_(pc.equal(sums.column("size"), 0), pc.greater_equal(sums.column("a"), LEAST)))
+
+
 def frequent(docs: DataFrame) -> DataFrame:
     """lang, size, phrase, a: exact counts of all phrases of up to `LONGEST` words that occur `LEAST` times; of size 0 all words of a language."""
     units = in_units(docs.select("text", F.col("lang").cast("string").alias("lang")), UNIT_BYTES)
-    total = units.agg(F.sum("n_words")).first()[0] or 0
-    shard_bits = max(0, (total // SHARD_WORDS).bit_length())
+    total, n = units.agg(F.sum("n_words"), F.count("*")).first()
+    shard_bits = max(0, ((total or 0) // SHARD_WORDS).bit_length())
     answers = None
     for sizes in ROUNDS:
         ask = _asked(sizes, shard_bits)
@@ -246,8 +285,10 @@ def frequent(docs: DataFrame) -> DataFrame:
             questions = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_later_round(ask), QUESTION)
         new = stored(questions.groupBy("shard", "size").applyInArrow(_counted, ANSWER), "answers")
         answers = new if answers is None else answers.union(new)
-    told = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_told(shard_bits), "lang string, size int, phrase string, a long")
-    return told.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where((F.col("size") == 0) | (F.col("a") >= LEAST))
+    packed_rows = "shard int, part int, told binary"
+    told = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_told(shard_bits, max(1, n // MERGED)), packed_rows)
+    merged = told.groupBy("shard", "part").applyInArrow(_merged, packed_rows)
+    return merged.groupBy("shard").applyInArrow(_final, "lang string, size int, phrase string, a long")
 
 
 def _joined(words: Column, first: Column, n: Column) -> Column:
@@ -256,7 +297,8 @@ def _joined(words: Column, first: Column, n: Column) -> Column:
 
 def scored(counts: DataFrame) -> DataFrame:
     """lang, phrase, size, a, l, r, n, score of all candidates; counts as `frequent` gives them."""
-    numbers = counts.where("size = 0").select("lang", F.col("a").alias("n"))
+    # Stored, so that Spark knows its size: a row for each language.
+    numbers = stored(counts.where("size = 0").select("lang", F.col("a").alias("n")), "numbers")
     parts = counts.where("size > 0").select("lang", "phrase", "a")
     words, k = F.split("phrase", " "), F.col("k")
     cuts = counts.where("size > 1").select("lang", "phrase", "size", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))

@@ -60,6 +60,7 @@ def test_against_brute_force(spark, told, monkeypatch, least, top, unit):
     monkeypatch.setattr(collocations, "LEAST", least)
     monkeypatch.setattr(collocations, "UNIT_BYTES", unit)
     monkeypatch.setattr(collocations, "SHARD_WORDS", 512)
+    monkeypatch.setattr(collocations, "MERGED", 2)
     frame = spark.createDataFrame([(t, x, 1, "u", b"k") for x, t in told], "text string, lang string, unit long, phrase string, keys binary").repartition(3)
     want = brute(told, least, top)
     assert len(want) > 10 and len({w[0] for w in want}) > 2
