@@ -15,10 +15,11 @@ def first_seen(lots: DataFrame, run: str = "run_id", order: str = "ord") -> Data
     return first.select(run, "canonical_url", *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
-def page_tally(items: DataFrame) -> DataFrame:
+def page_tally(items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Per page: raw items, new lots, duplicates within the run and skips by reason.
 
-    `items` has run_id, page, ord, skip_reason and canonical_url (NULL when skipped).
+    `items` has run_id, page, ord, skip_reason and canonical_url (NULL when skipped). With `pages` (run_id, page, each once) a page
+    that holds no item has a row of zeros.
     """
     page = ["run_id", "page"]
     by_reason = items.groupBy(*page, "skip_reason").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -31,13 +32,18 @@ def page_tally(items: DataFrame) -> DataFrame:
     parsed = items.where(F.col("skip_reason").isNull()).select(*page, "ord", "canonical_url")
     new = first_seen(parsed).groupBy(*page).agg(F.count(F.lit(1)).alias("_new"))
     fresh = F.coalesce("_new", F.lit(0).cast("long"))
-    return counts.join(new, page, "left").select(
+    tally = counts.join(new, page, "left").select(
         *page,
         "raw_item_count",
         fresh.alias("parsed_lot_count"),
         (F.col("_parsed") - fresh).alias("duplicate_count"),
         "skip_counts",
     )
+    if pages is None:
+        return tally
+    zeros = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("raw_item_count", "parsed_lot_count", "duplicate_count")}
+    none = F.coalesce("skip_counts", F.create_map().cast("map<string,int>"))
+    return pages.select(*page).join(tally, page, "left").withColumns({**zeros, "skip_counts": none})
 
 
 def state_snapshot(discovered: DataFrame, counters: DataFrame, status: str, now, context: str | None = None) -> DataFrame:

@@ -766,8 +766,11 @@ def _(spark, folder):
 # --- replay of stored pages -------------------------------------------------------------
 
 
-def _replayed(spark, folder):
-    pages = register_pages(derived.result_pages(spark, folder))
+def _replayed(spark, folder, both_sites=False):
+    fetched = derived.result_pages(spark, folder)
+    if both_sites:
+        fetched = fetched.unionByName(derived.captured_answers(spark, folder), allowMissingColumns=True)
+    pages = register_pages(fetched)
     no_lots = spark.createDataFrame([], ", ".join(f"`{k}` {v}" for k, v in LOT_FIELDS.items()))
     no_links = spark.createDataFrame([], "raw_page_id string, lot_id string, relationship_type string")
     no_targets = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in TARGET_FIELDS.items()))
@@ -815,6 +818,53 @@ def _(spark, folder):
     return _replayed(spark, folder).parse_runs.drop("targets_discovered", "finished_at")
 
 
+# Items without a lot at the second site, and the empty answers among its pages.
+_SECOND_LOST = "defect IN ('no_title', 'no_url', 'no_year', 'no_price')"
+
+
+@register(
+    "replay_lots_of_both_sites",
+    ITEMS + f""", seen AS (
+ SELECT 'bring_a_trailer' AS source, *, {_PAGE_ID} AS page FROM items WHERE defect IS NULL
+ UNION ALL SELECT 'cars_and_bids' AS source, *, concat('c-', {_PAGE_ID}) AS page FROM items
+ WHERE defect IS NULL OR NOT ({_SECOND_LOST} OR defect = 'parse_error')),
+placed AS (SELECT source AS site, source_auction_id, high_bid, concat(strftime(l_shipdate, '%Y%m%d'), ' ', page) AS o FROM (SELECT source, page, * EXCLUDE (source, page) FROM seen))
+SELECT sha256(concat(site, ':id:', source_auction_id)) AS id, site AS source, count(*) AS record_count, arg_max(high_bid, o) AS high_bid
+FROM placed GROUP BY site, source_auction_id""",
+)
+def _(spark, folder):
+    return _replayed(spark, folder, both_sites=True).lots.select("id", "source", "record_count", "high_bid")
+
+
+@register(
+    "replay_parse_runs_of_both_sites",
+    ITEMS + f"""SELECT {_PAGE_ID} AS raw_page_id, 'bat_completed_results' AS parser_name, 'success' AS status,
+ CAST(CASE WHEN defect IS NULL THEN 1 ELSE 0 END AS BIGINT) AS records_found FROM items
+UNION ALL SELECT concat('c-', {_PAGE_ID}), 'captured_auctions', 'success',
+ CAST(CASE WHEN coalesce({_SECOND_LOST} OR defect = 'parse_error', FALSE) THEN 0 ELSE 1 END AS BIGINT) FROM items""",
+)
+def _(spark, folder):
+    return _replayed(spark, folder, both_sites=True).parse_runs.select("raw_page_id", "parser_name", "status", "records_found")
+
+
+@register(
+    "replay_anomalies_of_both_sites",
+    ITEMS + f"""SELECT {_PAGE_ID} AS run_id, 'bring_a_trailer' AS source, 'warning' AS severity, 'zero_parsed_lots' AS code,
+ concat('https://bringatrailer.com/make-', l_suppkey, '/') AS url,
+ concat('BaT page https://bringatrailer.com/make-', l_suppkey, '/ returned raw items but parsed zero lots.') AS message FROM items WHERE defect IS NOT NULL
+UNION ALL SELECT NULL, 'bring_a_trailer', 'warning', 'parse_error', NULL, 'BaT completed-result item failed to parse.' FROM items WHERE defect = 'parse_error'
+UNION ALL SELECT concat('c-', {_PAGE_ID}), 'cars_and_bids', 'warning', 'zero_parsed_lots', concat('https://carsandbids.com/past-auctions/?q=', l_suppkey),
+ 'Cars & Bids returned raw auctions but parsed zero lots.' FROM items WHERE {_SECOND_LOST}
+UNION ALL SELECT concat('c-', {_PAGE_ID}), 'cars_and_bids', 'critical', 'no_closed_auction_response', concat('https://carsandbids.com/past-auctions/?q=', l_suppkey),
+ 'Cars & Bids returned no closed-auction API results.' FROM items WHERE defect = 'parse_error'""",
+)
+def _(spark, folder):
+    found = _replayed(spark, folder, both_sites=True).anomalies
+    # The item's own url tells more than the contract of this query needs.
+    own = F.when(F.col("code") != "parse_error", F.col("url"))
+    return found.select("run_id", "source", "severity", "code", own.alias("url"), "message")
+
+
 @register(
     "lot_json_records",
     LOTS + """SELECT concat('{"id":"', id, '","sourceAuctionId":"', source_auction_id, '","auctionStatus":"', auction_status,

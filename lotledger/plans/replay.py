@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotledger.operators import detail_pages, list_items, provenance, quality, targets, upsert
-from lotledger.schemas import DETAIL_PAGE, FIRST_SITE, RECORD_FIELDS, TARGET_FIELDS
+from lotledger.operators import detail_pages, list_items, provenance, quality, tallies, targets, upsert
+from lotledger.schemas import DETAIL_PAGE, FIRST_SITE, RECORD_FIELDS, SECOND_SITE, TARGET_FIELDS
 from lotledger.sources.listing_pages import exploded_items, with_paging, with_payload
 
 # Parser names and versions of the parse-run record.
@@ -16,6 +16,8 @@ LIST_PARSER = ("bat_completed_results", "bat-list-raw-v1")
 DETAIL_PARSER = ("bat_detail_page", "bat-detail-raw-v1")
 # End of fixed values.
 
+ANSWER_PARSER = ("captured_auctions", "captured-auctions-v1")  # the second site's answers
+
 COUNTS = ["records_found", "records_inserted", "records_updated", "targets_discovered"]
 
 
@@ -39,7 +41,8 @@ def answered(pages: DataFrame) -> DataFrame:
 
 
 def list_pages(pages: DataFrame) -> DataFrame:
-    return answered(pages).where((F.col("source") == FIRST_SITE) & (F.col("target_type") != DETAIL_PAGE))
+    """Result pages of the first site and answers of the second."""
+    return answered(pages).where(F.col("source").isin(FIRST_SITE, SECOND_SITE) & (F.col("target_type") != DETAIL_PAGE))
 
 
 def detail_pages_of(pages: DataFrame) -> DataFrame:
@@ -52,10 +55,11 @@ def _page_order(position: Column) -> Column:
 
 def _parse_runs(pages: DataFrame, parser: tuple[str, str], version: str | None, counts: DataFrame, failed: Column, now: Column) -> DataFrame:
     zero = F.lit(0).cast("long")
+    second = F.col("source") == SECOND_SITE
     return pages.join(counts, "raw_page_id", "left").select(
         "raw_page_id",
-        F.lit(parser[0]).alias("parser_name"),
-        F.lit(version or parser[1]).alias("parser_version"),
+        F.when(second, ANSWER_PARSER[0]).otherwise(parser[0]).alias("parser_name"),
+        F.lit(version).alias("parser_version") if version else F.when(second, ANSWER_PARSER[1]).otherwise(parser[1]).alias("parser_version"),
         F.when(failed, "error").otherwise("success").alias("status"),
         *[F.coalesce(F.col(c) if c in counts.columns else zero, zero).alias(c) for c in COUNTS],
         now.alias("finished_at"),
@@ -69,8 +73,24 @@ def load_list_pages(pages: DataFrame) -> DataFrame:
 
 
 def parse_items(loaded: DataFrame) -> DataFrame:
-    """The items of loaded pages, each as a lot or with its skip reason."""
-    return list_items.first_site_lots(exploded_items(loaded.select("raw_page_id", "fetched_at", "payload")))
+    """The items of loaded pages of both sites (`site`), each as a lot or with its skip reason.
+
+    An item of the second site that tells no end time ended when its page was fetched.
+    """
+    items = exploded_items(loaded.select("raw_page_id", "fetched_at", F.col("source").alias("site"), "payload"), "site")
+    first = list_items.first_site_lots(items.where(F.col("site") == FIRST_SITE))
+    second = list_items.second_site_lots(items.where(F.col("site") == SECOND_SITE), F.col("fetched_at"))
+    return first.unionByName(second)
+
+
+def page_anomalies(loaded: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Result pages that gave no lot, and answers of the second site without any item. The run of a stored page is the page itself."""
+    pages = loaded.where("readable").select(F.col("raw_page_id").alias("run_id"), F.col("url").alias("page"), "source")
+    told = parsed.select("raw_page_id", F.col("pos").alias("ord"), "skip_reason", F.col("lot.canonical_url").alias("canonical_url"))
+    items = told.withColumnRenamed("raw_page_id", "run_id").join(pages.select("run_id", "page"), "run_id")
+    tally = tallies.page_tally(items, pages).join(pages, ["run_id", "page"]).withColumn("url", F.col("page"))
+    first, second = (tally.where(F.col("source") == site).drop("source") for site in (FIRST_SITE, SECOND_SITE))
+    return quality.all_anomalies(quality.nothing_parsed(first), quality.nothing_parsed(second, SECOND_SITE), quality.no_response(second))
 
 
 def parse_list_pages(
@@ -92,8 +112,10 @@ def parse_list_pages(
     ).where(F.col("_id").eqNullSafe(F.nullif(F.col("source_auction_id"), F.lit(""))))
     links = placed.select("raw_page_id", "lot_id", F.lit("list").alias("relationship_type"))
 
-    found = targets.detail_targets(records).unionByName(
-        targets.result_page_targets(loaded.withColumn("ord", _page_order(F.lit(1_000_000_000))))
+    # Only the first site's lots have detail pages to fetch, only its lists go on over numbered pages.
+    first = loaded.where(F.col("source") == FIRST_SITE)
+    found = targets.detail_targets(records.where(F.col("source") == FIRST_SITE)).unionByName(
+        targets.result_page_targets(first.withColumn("ord", _page_order(F.lit(1_000_000_000))))
     )
     queued = targets.enqueue(known_targets, found, now)
 
@@ -109,11 +131,11 @@ def parse_list_pages(
         links=provenance.missing_links(known_links, links),
         targets=queued,
         parse_runs=_parse_runs(
-            loaded.select("raw_page_id", "readable"), LIST_PARSER, version, counts, ~F.col("readable"), now
+            loaded.select("raw_page_id", "source", "readable"), LIST_PARSER, version, counts, ~F.col("readable"), now
         ),
         rejects=rejects,
         conflicts=merged.conflicts,
-        anomalies=quality.unreadable_items(rejects),
+        anomalies=quality.all_anomalies(quality.unreadable_items(rejects.where(F.col("site") == FIRST_SITE)), page_anomalies(loaded, parsed)),
     )
 
 
@@ -146,7 +168,7 @@ def parse_detail_pages(
     # A page with an unreadable bullet, or one that fits several lots, is an error.
     unread = read.where("detail_error").select("raw_page_id").union(rejects.select("raw_page_id")).distinct()
     failed = unread.withColumn("_failed", F.lit(True))
-    shown = detail_pages_of(pages).select(F.col("id").alias("raw_page_id")).join(failed, "raw_page_id", "left")
+    shown = detail_pages_of(pages).select(F.col("id").alias("raw_page_id"), "source").join(failed, "raw_page_id", "left")
     spark = pages.sparkSession
     no_targets = spark.createDataFrame([], ", ".join(f"{k} {v}" for k, v in TARGET_FIELDS.items()))
     return Parsed(

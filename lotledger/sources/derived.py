@@ -136,7 +136,7 @@ def second_site_items(spark: SparkSession, folder: str) -> DataFrame:
     item = F.when(
         seller_named, _fields(*common, ("seller", F.struct(F.col("c_name").alias("username"))))
     ).otherwise(_fields(*common, ("seller", F.col("c_name"))))
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", item.alias("item_json"), "defect")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", item.alias("item_json"), "defect")
 
 
 def result_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,6 +169,24 @@ def result_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def captured_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """One API answer of the second site per observation; observations with an item that cannot be read gave an empty answer."""
+    items = second_site_items(spark, folder)
+    empty = F.coalesce(F.col("defect") == "parse_error", F.lit(False))
+    listed = F.when(empty, "").otherwise(F.col("item_json"))
+    number = F.when(empty, "0").otherwise("1")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return items.select(
+        F.concat(F.lit("c-"), F.concat_ws("-", *[F.col(c).cast("string") for c in key], F.date_format("l_shipdate", "yyyyMMdd"))).alias("id"),
+        F.lit("cars_and_bids").alias("source"),
+        F.lit("closed_auction_search").alias("target_type"),
+        F.concat(F.lit("https://carsandbids.com/past-auctions/?q="), F.col("l_suppkey").cast("string")).alias("url"),
+        F.lit("application/json").alias("content_type"),
+        F.concat(F.lit('{"auctions":['), listed, F.lit('],"count":'), number, F.lit(',"total":'), number, F.lit("}")).alias("content"),
+        F.col("l_shipdate").alias("fetched_at"),
+    )
+
+
 def detail_html(spark: SparkSession, folder: str) -> DataFrame:
     """One detail page per observation: bullets, JSON-LD, images, seller, bids."""
     df = described_observations(spark, folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotledger.functions.barriers import computed_once
 from lotledger.functions.variants import elements, is_truthy, loose_number, member
-from lotledger.schemas import RESULTS_API
+from lotledger.schemas import RESULTS_API, SECOND_SITE
 
 # Fixed value: the script variable that carries the result list.
 EMBEDDED = r"(?s)var\s+auctionsCompletedInitialData\s*=\s*(\{.*?\})\s*;"
@@ -27,16 +27,24 @@ def with_payload(pages: DataFrame) -> DataFrame:
     return computed_once(pages, pages.columns, payload=F.try_parse_json(text), is_json=json_page)
 
 
-def exploded_items(pages: DataFrame, field: str = "items") -> DataFrame:
-    """One row per item: page columns, `pos` and `item`."""
+def listed(pages: DataFrame, site: str = "source") -> Column:
+    """The result list of a page: `auctions` in the answers of the second site, else `items`."""
+    items = member(F.col("payload"), "items")
+    if site not in pages.columns:
+        return elements(items)
+    return elements(F.when(F.col(site) == SECOND_SITE, member(F.col("payload"), "auctions")).otherwise(items))
+
+
+def exploded_items(pages: DataFrame, site: str = "source") -> DataFrame:
+    """One row per item: page columns, `pos` and `item`; `site` names the column that tells the site."""
     carried = [c for c in pages.columns if c not in ("payload", "is_json", "content")]
-    return pages.select(*carried, F.posexplode(elements(member(F.col("payload"), field))).alias("pos", "item"))
+    return pages.select(*carried, F.posexplode(listed(pages, site)).alias("pos", "item"))
 
 
 def with_paging(pages: DataFrame) -> DataFrame:
     """Adds items_total, items_per_page, page_current, pages_total, base_filter, item_count.
 
-    A blank or zero number of pages counts as one. JSON pages do not tell a base filter.
+    A blank or zero number of pages counts as one. JSON pages do not tell a base filter, the second site's answers tell a total only.
     """
     payload = F.col("payload")
 
@@ -47,12 +55,12 @@ def with_paging(pages: DataFrame) -> DataFrame:
     return computed_once(
         pages,
         pages.columns,
-        items_total=number("items_total"),
+        items_total=F.coalesce(number("items_total"), number("total")),
         items_per_page=number("items_per_page"),
         page_current=number("page_current"),
         pages_total=F.coalesce(F.nullif(number("pages_total"), F.lit(0)), F.lit(1)),
         base_filter=F.when(~F.col("is_json") & is_truthy(base), F.to_json(base)).otherwise("{}"),
-        item_count=F.size(elements(member(payload, "items"))),
+        item_count=F.size(listed(pages)),
     )
 
 

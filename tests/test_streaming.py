@@ -4,7 +4,7 @@ import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from samples import DETAIL_PAGE, LIST_ITEM, result_html
+from samples import API_ITEM, DETAIL_PAGE, LIST_ITEM, result_html
 
 from lotledger.schemas import REQUEST_LOG_FIELDS, shaped
 from lotledger.sources.raw_pages import register_pages
@@ -121,3 +121,36 @@ def test_daily_counts_close_behind_the_watermark(spark, tmp_path):
     closed = {(str(r.day), r.requests) for r in spark.table("daily").collect()}
     assert closed == {("2026-01-01", 2), ("2026-01-04", 1)}
     assert spark.read.parquet(folder).agg(F.count("*")).first()[0] == 4
+
+
+def test_both_sites_in_one_batch(spark, tmp_path):
+    """Answers of the second site become lots in the same batch; an answer without items and one without a lot raise anomalies."""
+    store = Store(str(tmp_path / "store"))
+    answers = [
+        {"auctions": [API_ITEM, {**API_ITEM, "id": "b2", "auction_end": None}, {**API_ITEM, "id": "b3", "title": "Audi R8"}], "count": 3, "total": 3},
+        {"auctions": [], "count": 0, "total": 0},
+        {"auctions": [{**API_ITEM, "id": ""}], "count": 1, "total": 1},
+        [],
+    ]
+    pages = [
+        _page(spark, 10 + k, "closed_auction_search", f"https://carsandbids.com/past-auctions/?q={k}", json.dumps(body), "application/json")
+        .withColumn("source", F.lit("cars_and_bids"))
+        for k, body in enumerate(answers)
+    ]
+    batch = _pages(spark)[0]
+    for page in pages:
+        batch = batch.unionByName(page)
+    for _ in range(2):  # the second time nothing changes
+        ingest_pages(batch, store, "000000001", buckets=4)
+        lots = {(r.source, r.source_auction_id): r for r in stored_lots(spark, store).collect()}
+        assert set(lots) == {("bring_a_trailer", "70412233"), ("bring_a_trailer", "2"), ("cars_and_bids", "qz81kd"), ("cars_and_bids", "b2")}
+        assert lots["cars_and_bids", "b2"].ended_at == datetime(2026, 4, 1, 10) and lots["cars_and_bids", "qz81kd"].sold_price == 24750
+        anomalies = spark.read.parquet(store.table("anomalies")).collect()
+        assert sorted((a.run_id, a.source, a.severity, a.code) for a in anomalies) == [
+            ("11", "cars_and_bids", "critical", "no_closed_auction_response"),
+            ("12", "cars_and_bids", "warning", "zero_parsed_lots"),
+            ("13", "cars_and_bids", "critical", "no_closed_auction_response"),
+        ]
+        runs = _runs(spark, store)
+        assert runs["10"] == ("captured_auctions", 2, 2, 0, 0) and runs["11"] == ("captured_auctions", 0, 0, 0, 0)
+        assert {t.source for t in current_targets(spark, store).collect()} == {"bring_a_trailer"}
