@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotledger.llm import near_dedup
-from lotledger.llm.components import connected
 from lotledger.llm.near_dedup import NO_ID, shingle_sets
 from lotledger.llm.tables import ship, slices, stored, texts_of
 from lotledger.llm.words import sequence_hashes, window_hashes, word_hashes
@@ -183,7 +182,10 @@ def near_pairs(docs: DataFrame, percent: int = 80) -> DataFrame:
     every = stored(near_dedup.sketches(docs).where("n_shingles > 0"), "near-sketches")
     classes = stored(
         every.groupBy("digest")
-        .agg(F.min("doc_id").alias("least_id"), F.count("*").alias("many"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min("doc_id").alias("least_id"), F.min_by("text_hash", F.coalesce("doc_id", F.lit(NO_ID))).alias("text_hash"), F.count("*").alias("many"),
+            F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+        )
         .withColumn("node", F.monotonically_increasing_id()),
         "near-classes",
     )
@@ -197,8 +199,7 @@ def near_pairs(docs: DataFrame, percent: int = 80) -> DataFrame:
     lists = stored(_band_lists(texts.rows), "near-lists")
     stars = stored(near_dedup.likely(near_dedup._stars(lists), classes, percent), "near-stars")
     links = stored(verified(stars), "near-links")
-    open_ = near_dedup._rest(lists, connected(links), texts.rows, percent).join(stars, ["a", "b"], "left_anti")
-    links = links.union(verified(near_dedup.likely(open_, classes, percent)))
+    links = links.union(verified(near_dedup.further(lists, links.select("a", "b"), classes, texts, percent)))
     ids = classes.select("node", F.coalesce("least_id", F.lit(NO_ID)).alias("id"))
     ends = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
     across = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
