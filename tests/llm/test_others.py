@@ -57,7 +57,7 @@ def test_topk(spark, monkeypatch):
     ints[305] = []
     want = []
     for q in range(0, 300, 50):
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in ints.items() if i != q)
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in [*ints.items(), (7, ints[7])] if i != q)
         far = min(max(ints[q][0] * int(9.2e18), -(2**63)), 2**63 - 1)
         scores = sorted([*scores, (-far, 306)])
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
@@ -67,6 +67,20 @@ def test_topk(spark, monkeypatch):
     assert topk.search(two, two.where("vec_id = 0")).count() == 1
 
 
+def test_topk_counts_every_row_of_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 3)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    rows = [(50, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [0.5, 0.0]), (1, [3.0, 0.0]), (50, [4.0, 0.0])]
+    known = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2))
+    found = sorted(tuple(r) for r in topk.search(known, known.where("vec_id % 50 = 0"), 3).collect())
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i == 50:
+            best = sorted((-int(256 * v[0]) * int(256 * w[0]), j) for c, (j, w) in enumerate(rows) if c != q)[:3]
+            want += [(50, rank, j, -score) for rank, (score, j) in enumerate(best, 1)]
+    assert found == sorted(want)
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(REGISTRY.sql))
 def test_sql(spark, name):
