@@ -3,8 +3,9 @@
 A linear classifier over distinct words and beginnings of words is trained in numpy from confirmed toxic texts and from unlabelled texts, with the risk
     prior * E_toxic[loss(+)] + max(0, E_any[loss(-)] - prior * E_toxic[loss(-)]),
 the second term being the risk on clean texts, which cannot be negative. The class prior is the share of toxic rows among the
-labels it learns from. Features weigh as much as their log odds between both samples before training; those in few of the
-toxic texts are left out, as a group of copies would otherwise bring in its own words, and so are those that tell little.
+labels it learns from. Features weigh as much as their log odds between both samples before training; those in fewer than `LEAST_TEXTS`
+of the toxic texts are left out. Of near-equal texts in a sample, those with equal minima under three hash functions, each counts as its share of
+one text, in counts and in risks, so a group of copies doesn't bring in its own words.
 
 Samples are bounded: at most `TOXIC` confirmed and `ANY` unlabelled documents, those with the smallest hash of doc_id. Scoring
 reads every whole text; labels, language, source and id are no inputs.
@@ -24,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.llm.tables import ship, slices, texts_of
-from lotledger.llm.words import lowered, raw, span_hashes, word_spans
+from lotledger.llm.words import BYTE_BASES, WORD_BASES, lowered, raw, span_hashes, word_spans
 
 ship(__name__)
 
 TOXIC, ANY, BITS, FOLDS, PREFIXES = 4000, 12000, 20, 5, (4,)
-LEAST_TEXTS, LEAST_SHARE, LEAST_TELLING, STEPS, RATE, DECAY = 5, 0.012, 0.6, 300, 0.05, 1e-4
+LEAST_TEXTS, STEPS, RATE, DECAY = 5, 300, 0.05, 1e-4
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -65,36 +66,58 @@ def _sampled(ids: DataFrame, most: int) -> list[int]:
     return [r[0] for r in ids.select("doc_id").distinct().orderBy(order, "doc_id").limit(most).collect()]
 
 
+def shares(rows: list[np.ndarray]) -> np.ndarray:
+    """What each text counts: one, shared by texts whose features have equal minima under three hash functions."""
+    classes: dict[tuple, list[int]] = {}
+    for k, own in enumerate(rows):
+        key = [((own.astype(np.uint64) + np.uint64(1)) * f >> np.uint64(20)).min(initial=np.uint64(1 << 44)) for f in (BYTE_BASES[0], *WORD_BASES)]
+        classes.setdefault(tuple(key), []).append(k)
+    out = np.zeros(len(rows))
+    for members in classes.values():
+        out[members] = 1 / len(members)
+    return out
+
+
+def _blocks(rows: list[np.ndarray], size: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Some texts at a time: the first, how many, and text and feature of each entry."""
+    for a in range(0, len(rows), size):
+        own = rows[a : a + size]
+        yield a, len(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(r) for r in own]), np.concatenate(own).astype(np.int32)
+
+
 def train(toxic: list[np.ndarray], some: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights of all features and the bias. toxic, some: the distinct features of each text."""
     size = 1 << BITS
-    counts = [np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), minlength=size) for rows in (toxic, some)]
-    share = [(c + 0.5) / (len(rows) + 1) for c, rows in zip(counts, (toxic, some), strict=True)]
-    odds = np.where(counts[0] >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)), np.log(share[0] / share[1]), 0.0)
-    odds[prior * np.exp(odds) < LEAST_TELLING] = 0.0  # the chance that a text with the feature is toxic
+    per = [shares(rows) for rows in (toxic, some)]
+    counts = [sum((np.bincount(f, w[a:][t], minlength=size) for a, _, t, f in _blocks(rows)), np.zeros(size)) for w, rows in zip(per, (toxic, some), strict=True)]
+    share = [(c + 0.5) / (w.sum() + 1) for c, w in zip(counts, per, strict=True)]
+    odds = np.where(counts[0] >= LEAST_TEXTS, np.log(share[0] / share[1]), 0.0)
+    of_toxic, of_some = (w / max(w.sum(), 1e-9) for w in per)
 
     telling = np.flatnonzero(odds)
     number, odds, size = np.cumsum(odds != 0) - 1, odds[telling], len(telling)
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        feature = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-        used = np.isin(feature, telling)
-        return text[used], number[feature[used]]
+    def used(rows: list[np.ndarray]) -> list[tuple]:
+        out = []
+        for a, n, text, feature in _blocks(rows):
+            tells = np.isin(feature, telling)
+            out.append((a, n, text[tells], number[feature[tells]].astype(np.int32)))
+        return out
 
-    (tp, fp), (tu, fu) = matrix(toxic), matrix(some)
+    of_blocks = used(toxic), used(some)
     weight, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     moments = np.zeros((2, size + 1))
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for step in range(1, STEPS + 1):
-        margin = lambda text, feature, n: bias + np.bincount(text, (weight * odds)[feature], minlength=n)  # noqa: B023, E731
-        zp, zu = margin(tp, fp, len(toxic)), margin(tu, fu, len(some))
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        each = weight * odds
+        zp, zu = (bias + np.concatenate([np.bincount(t, each[f], minlength=n) for _, n, t, f in blocks] or [np.zeros(0)]) for blocks in of_blocks)
+        clean = of_some @ np.logaddexp(0, zu) - prior * (of_toxic @ np.logaddexp(0, zp))
         # Gradients of each text's loss: toxic as such, and both parts of the clean risk.
-        gp, gu = -prior * (1 - sigmoid(zp)) / len(toxic), sigmoid(zu) / len(some)
-        back = -prior * sigmoid(zp) / len(toxic)
+        gp, gu = -prior * (1 - sigmoid(zp)) * of_toxic, sigmoid(zu) * of_some
+        back = -prior * sigmoid(zp) * of_toxic
         gp, gu = (gp + back, gu) if clean >= 0 else (-back, -gu)
-        slope = (np.bincount(fp, gp[tp], minlength=size) + np.bincount(fu, gu[tu], minlength=size)) * odds + DECAY * weight
+        slope = sum((np.bincount(f, g[a:][t], minlength=size) for g, blocks in zip((gp, gu), of_blocks, strict=True) for a, _, t, f in blocks), np.zeros(size))
+        slope = slope * odds + DECAY * weight
         both = np.append(slope, gp.sum() + gu.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * both
         moments[1] = 0.999 * moments[1] + 0.001 * both**2

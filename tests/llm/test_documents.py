@@ -283,3 +283,23 @@ def test_licences(spark):
     assert told[7, "a/b/own.txt"] == ("GPL-3.0", "own", "a/b/own.txt") and told[4, "a/b/LICENSE"][0] == "Apache-2.0"
     assert all(told[k] == (None, None, None) for k in [(5, "z/q.txt"), (6, None), (7, "z/LICENSE"), (8, "top.txt")])
     assert licenses.scan(spark.createDataFrame([], "file long, path string, text string")).count() == 0
+
+
+def test_toxicity_of_odd_labels(labelled, spark):
+    """Labels that differ count as toxic, a repeated doc_id is learnt from once, a very long text is scored whole, rows without words by the bias."""
+    docs, labels, toxic = labelled
+    long = " ".join(["v1 v2 v3"] * 40000) + " Idiot, go"
+    more = docs.union(spark.createDataFrame([(801, long, "en"), (801, long, "en"), (802, " \n", "en")], docs.schema))
+    both = labels.union(spark.createDataFrame([(k, 0, 0) for k, x in enumerate(toxic) if x and k % 2], labels.schema))
+    found = toxicity.scored(more, toxicity.fit(more, both)).collect()
+    scores = {r["doc_id"]: r[toxicity.SCORE] for r in found}
+    assert len(found) == 605 and all(scores[k] >= 0.5 for k, x in enumerate(toxic) if x)
+    assert scores[802] == scores[700] == scores[None] < 0.5
+    assert toxicity.without_toxic(more, both).where("doc_id is null or doc_id in (700, 802)").count() == 3
+
+
+def test_copies_count_as_one_text():
+    rng = np.random.default_rng(1)
+    texts = [np.unique(rng.integers(0, 1 << toxicity.BITS, 60)) for _ in range(20)]
+    per = toxicity.shares([*texts, *[texts[0]] * 9, np.zeros(0, np.int64)])
+    assert np.allclose(per[[0, *range(20, 29)]], 0.1) and np.allclose(per[1:20], 1)
