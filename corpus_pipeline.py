@@ -1,7 +1,7 @@
 """Training data out of `documents`: toxic texts go, near copies go, repeated passages go, the rest is packed.
 
 Every stage takes documents and returns all their columns, but the last, which returns the packed pieces. Null texts and empty
-texts stay (they are clean, nobody's copy, and pack as one end token). A repeated row of a kept document stays with it. An empty table
+texts stay (they are clean, nobody's copy, and pack as one end token). Of repeated rows with words one stays. An empty table
 gives an empty result at every stage; further columns pass through.
 """
 
