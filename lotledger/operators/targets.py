@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.functions.maps import empty_map, entries_to_map, last_entries, merged, text_fragment
-from lotledger.functions.urls import canonical_url, request_fingerprint
+from lotledger.functions.urls import canonical_url, is_blocking, request_fingerprint
 from lotledger.schemas import (
     DETAIL_PAGE,
     FIRST_SITE,
@@ -86,12 +86,43 @@ def after_enqueue(existing: DataFrame, touched: DataFrame) -> DataFrame:
     return shaped(rest, TARGET_FIELDS).unionByName(shaped(touched, TARGET_FIELDS))
 
 
+def fetch_events(pages: DataFrame) -> DataFrame:
+    """One transition per landed page: target_id, ord, event, error, raw_page_id and retry_at.
+
+    A page names its target (`crawl_target_id`) or is the answer to the request with its fingerprint. Refused requests
+    block the target. No answer and server errors may be tried again, from `retry_delay_seconds` of the page's metadata
+    on where it is told; other errors are final.
+    """
+    note = lambda name: F.try_element_at(F.col("metadata"), F.lit(name))
+    status, broken = F.col("status_code"), F.nullif(F.col("fetch_error"), F.lit(""))
+    method = F.coalesce(note("request_method"), F.lit("GET"))
+    fingerprint = request_fingerprint(F.col("source"), F.col("target_type"), F.col("url"), method, note("request_payload"))
+    event = (
+        F.when(is_blocking(status), "blocked")
+        .when(status >= 500, "failed_retryable")
+        .when(status >= 400, "failed")
+        .when(broken.isNotNull(), "failed_retryable")
+        .otherwise("fetched")
+    )
+    site = F.when(F.col("source") == FIRST_SITE, "BaT").otherwise(F.col("source"))
+    told = pages.select(
+        F.coalesce("crawl_target_id", fingerprint).alias("target_id"),
+        F.struct("fetched_at", "id").alias("ord"),
+        event.alias("event"),
+        F.coalesce(broken, F.when(status >= 400, F.concat(site, F.lit(" returned "), status.cast("string")))).alias("error"),
+        F.col("id").alias("raw_page_id"),
+        (F.col("fetched_at") + F.make_dt_interval(secs=note("retry_delay_seconds").cast("decimal(18,6)"))).alias("_later"),
+    )
+    again = F.when(F.col("event") == "failed_retryable", F.col("_later").cast("timestamp"))
+    return told.withColumn("retry_at", again).drop("_later")
+
+
 def current_state(targets: DataFrame, events: DataFrame) -> DataFrame:
     """Targets after their latest transition.
 
-    `events` (target_id, ord, event, error, raw_page_id): fetched; failed_retryable (back to
-    pending), failed (error) and blocked. Appending events and reading the latest one takes
-    the place of updating rows.
+    `events` (target_id, ord, event, error, raw_page_id, maybe retry_at): fetched; failed_retryable (back to
+    pending, until retry_at), failed (error) and blocked. Appending events and reading the latest one takes
+    the place of updating rows. Events of unknown targets change nothing.
     """
     state = (
         F.when(F.col("event") == "fetched", "fetched")
@@ -100,8 +131,10 @@ def current_state(targets: DataFrame, events: DataFrame) -> DataFrame:
         .when(F.col("event") == "blocked", "blocked")
     )
     fetched_page = F.max_by("raw_page_id", F.when(F.col("event") == "fetched", F.col("ord")))
-    last = events.withColumn("_to", state).groupBy(F.col("target_id").alias("id")).agg(
+    retry = F.col("retry_at") if "retry_at" in events.columns else F.lit(None).cast("timestamp")
+    last = events.withColumns({"_to": state, "_at": retry}).groupBy(F.col("target_id").alias("id")).agg(
         F.max_by("_to", "ord").alias("_state"),
+        F.max_by("_at", "ord").alias("_retry"),
         F.max_by("error", F.when(F.col("event") != "fetched", F.col("ord"))).alias("_error"),
         fetched_page.alias("_page"),
         F.count(F.lit(1)).cast("int").alias("_tries"),
@@ -113,11 +146,12 @@ def current_state(targets: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumns(
         {
             "state": F.coalesce("_state", "state"),
+            "next_fetch_at": F.when(F.col("_state").isNull(), F.col("next_fetch_at")).otherwise(F.col("_retry")),
             "last_error": F.coalesce("_error", "last_error"),
             "attempts": (F.coalesce("attempts", F.lit(0)) + F.coalesce("_tries", F.lit(0))).cast("int"),
             "metadata": merged(F.col("metadata"), page_note),
         }
-    ).drop("_state", "_error", "_page", "_tries")
+    ).drop("_state", "_retry", "_error", "_page", "_tries")
 
 
 def detail_targets(lots: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotledger.functions import urls
@@ -14,9 +16,11 @@ from lotledger.plans import replay
 from lotledger.plans.oracle_views import LOTS, PAGES, canonical_sql
 from lotledger.plans.registry import Registry
 from lotledger.schemas import LOT_FIELDS, RECORD_FIELDS, TARGET_FIELDS, camel_json, shaped
+from lotledger.session import shared_folder
 from lotledger.sources import derived, observed
 from lotledger.sources.listing_pages import exploded_items, with_paging, with_payload
 from lotledger.sources.raw_pages import new_artifacts, register_pages
+from lotledger.streaming import ingest
 
 REGISTRY = Registry()
 register = REGISTRY.query
@@ -698,6 +702,59 @@ def _(spark, folder):
     return paging.targets_by_urgency(keep(_target_states(spark, folder), wanted), 30).select("id", "priority", "state")
 
 
+def _two_batches(spark, folder):
+    """A store in which all targets are queued and all tries have landed in two batches, the second one twice."""
+    store = ingest.Store(f"{shared_folder(spark)}/targets-{uuid.uuid4().hex}")
+    ingest.queue_targets(observed.customer_targets(spark, folder), store, "000000000", F.lit("2024-01-01").cast("timestamp"))
+    tries, half = observed.target_tries(spark, folder), F.lit("2024-01-15").cast("timestamp_ntz")
+    ingest.land_pages(tries.where(F.col("fetched_at") < half), store, "000000001")
+    for _ in range(2):
+        ingest.land_pages(tries.where(F.col("fetched_at") >= half), store, "000000002")
+    return ingest.current_targets(spark, store)
+
+
+_TRIES = """
+WITH tries AS (SELECT user_id, CAST(event_id AS VARCHAR) AS page_id, ts, (event_id % 3 + 1) * 60 AS wait,
+  CASE event_type WHEN 'view' THEN 'fetched' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'blocked' ELSE 'failed_retryable' END AS event,
+  CASE event_type WHEN 'error' THEN '404' WHEN 'click' THEN '503' WHEN 'signup' THEN '429' END AS status,
+  CASE WHEN user_id % 2 = 0 THEN 'BaT' ELSE 'cars_and_bids' END AS site FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, page_id DESC) AS nth,
+  row_number() OVER (PARTITION BY user_id, event = 'fetched' ORDER BY ts DESC, page_id DESC) AS nth_alike FROM tries),
+folded AS (SELECT user_id, CAST(count(*) AS INTEGER) AS attempts, max(event) FILTER (nth = 1) AS event,
+  max(ts + to_seconds(wait)) FILTER (nth = 1 AND event = 'failed_retryable') AS next_fetch_at,
+  max(CASE WHEN status IS NULL THEN 'timed out' ELSE concat(site, ' returned ', status) END) FILTER (nth_alike = 1 AND event <> 'fetched') AS last_error,
+  max(page_id) FILTER (nth_alike = 1 AND event = 'fetched') AS raw_page_id FROM numbered GROUP BY user_id),
+stored AS (SELECT concat('https://auctions.example/listing/', c_custkey) AS canonical_url,
+  CASE WHEN c_custkey % 2 = 0 THEN 'bring_a_trailer' ELSE 'cars_and_bids' END AS source,
+  CASE event WHEN 'fetched' THEN 'fetched' WHEN 'failed' THEN 'error' WHEN 'blocked' THEN 'blocked' ELSE 'pending' END AS state,
+  coalesce(attempts, 0) AS attempts, next_fetch_at, last_error, raw_page_id
+  FROM customer LEFT JOIN folded ON user_id = c_custkey)
+"""
+
+
+@register(
+    "target_transitions",
+    _TRIES + "SELECT canonical_url, state, attempts, next_fetch_at, last_error, concat('\"', raw_page_id, '\"') AS raw_page_id FROM stored",
+)
+def _(spark, folder):
+    quoted = F.coalesce(F.try_element_at("metadata", F.lit("raw_page_id")), F.lit('""'))
+    rows = _two_batches(spark, folder).select(
+        "canonical_url", "state", "attempts", "next_fetch_at", "last_error", quoted.alias("raw_page_id")
+    )
+    return _times(rows, "next_fetch_at")
+
+
+@register(
+    "ready_targets_of_store",
+    _TRIES + """SELECT canonical_url, attempts FROM stored WHERE source = 'bring_a_trailer' AND state = 'pending'
+ AND coalesce(next_fetch_at <= TIMESTAMP '2024-01-30 12:00:00', TRUE)
+ ORDER BY sha256(concat_ws(chr(31), source, 'bat_detail_page', 'GET', canonical_url, '{}')) LIMIT 40""",
+)
+def _(spark, folder):
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    return paging.ready_targets(_two_batches(spark, folder), "bring_a_trailer", now, 40).select("canonical_url", "attempts")
+
+
 _DETAIL_PRINT = "sha256(concat_ws(chr(31), 'bring_a_trailer', 'bat_detail_page', 'GET', rtrim(canonical_url, '/'), '{}'))"
 
 

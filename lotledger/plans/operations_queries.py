@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotledger.functions import urls
@@ -9,7 +11,10 @@ from lotledger.operators import operations, paging, quality, tallies
 from lotledger.operators.filters import equal_to, keep, request_log_predicates, run_predicates
 from lotledger.plans.oracle_views import LOGS, LOTS
 from lotledger.plans.registry import Registry
+from lotledger.schemas import REQUEST_LOG_FIELDS
+from lotledger.session import shared_folder
 from lotledger.sources import observed
+from lotledger.sources.tables import BatchLog
 
 REGISTRY = Registry()
 register = REGISTRY.query
@@ -170,6 +175,43 @@ def _(spark, folder):
     return operations.within_retention(observed.request_logs(spark, folder), now).select(*LOG_COLUMNS)
 
 
+def _log(spark):
+    return BatchLog(spark, f"{shared_folder(spark)}/request-logs-{uuid.uuid4().hex}", REQUEST_LOG_FIELDS)
+
+
+def _appended(spark, folder):
+    """All request logs appended in two batches; the first one had been lost halfway and was appended again."""
+    logs, log = observed.request_logs(spark, folder), _log(spark)
+    first = F.col("source") == "bring_a_trailer"
+    log.append(logs.where(first & (F.col("attempt") < 3)), "000000001")
+    log.append(logs.where(first), "000000001")
+    log.append(logs.where(~first), "000000002")
+    return log
+
+
+def _log_rows(log):
+    return log.read().withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@register(
+    "request_logs_appended_again",
+    LOGS + f"""SELECT {LOG_SQL}, CASE WHEN source = 'bring_a_trailer' THEN '000000001' ELSE '000000002' END AS batch,
+ CAST(created_at AS DATE) AS day FROM request_logs""",
+)
+def _(spark, folder):
+    return _log_rows(_appended(spark, folder)).select(*LOG_COLUMNS, "batch", "day")
+
+
+@register(
+    "request_logs_after_pruning",
+    LOGS + f"SELECT {LOG_SQL} FROM request_logs WHERE created_at >= TIMESTAMP '2024-04-10 15:00:00' - INTERVAL 90 DAY",
+)
+def _(spark, folder):
+    log = _appended(spark, folder)
+    log.prune(F.lit("2024-04-10 15:00:00").cast("timestamp"), operations.LOG_RETENTION_DAYS)
+    return _log_rows(log).select(*LOG_COLUMNS)
+
+
 @register(
     "blocked_request_anomalies",
     LOGS + """SELECT run_id, source, 'critical' AS severity, 'blocked_response' AS code, url,

@@ -221,3 +221,34 @@ def discovered_targets(spark: SparkSession, folder: str) -> DataFrame:
         (number * 2 + F.col("_s.turn")).alias("ord"),
     )
 
+
+
+def target_tries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a landed page: one try to fetch the target of its user, with the answer the event tells of."""
+    kind, listing = F.col("event_type"), F.col("user_id").cast("string")
+    status = F.when(kind == "error", 404).when(kind == "view", 200).when(kind == "click", 503).when(kind == "signup", 429)
+    wait = ((F.col("event_id") % 3 + 1) * 60).cast("string")
+    return table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("id"),
+        site_of(F.col("user_id")).alias("source"),
+        F.lit("bat_detail_page").alias("target_type"),
+        F.concat(F.lit(LISTING_ROOT), listing).alias("url"),
+        status.alias("status_code"),
+        F.when(status.isNull(), "timed out").alias("fetch_error"),
+        F.create_map(F.lit("retry_delay_seconds"), wait).alias("metadata"),
+        F.col("ts").alias("fetched_at"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def customer_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """A detail page to fetch for every customer, as a found target; events of the customer's number are its tries."""
+    return table(spark, folder, "customer").select(
+        site_of(F.col("c_custkey")).alias("source"),
+        F.lit("bat_detail_page").alias("target_type"),
+        F.concat(F.lit(LISTING_ROOT), F.col("c_custkey").cast("string"), F.lit("/")).alias("url"),
+        F.lit(80).alias("priority"),
+        F.lit(None).cast("string").alias("discovered_from"),
+        F.create_map().cast("map<string,string>").alias("metadata"),
+        F.col("c_custkey").alias("ord"),
+    )

@@ -5,10 +5,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from lotledger.operators import operations, quality, tallies, targets
+from lotledger.operators import operations, paging, quality, tallies, targets
 from lotledger.operators.provenance import match_detail_pages, missing_links
 from lotledger.schemas import ANOMALY_FIELDS, LOT_FIELDS, REQUEST_LOG_FIELDS, TARGET_FIELDS, ddl, shaped
 from lotledger.sources import raw_pages, seeds, tables
+from lotledger.streaming.ingest import Store, current_targets, land_pages, queue_targets
 
 
 def at(day, hour=0):
@@ -127,9 +128,74 @@ def test_stored_pages_and_logs(spark, tmp_path):
     assert [r.content for r in raw_pages.read_page_files(spark, str(tmp_path / "files")).collect()] == ["<p>\nx</p>"]
 
     logs = spark.createDataFrame([("1", "s", at(1)), ("2", "s", at(9)), ("3", "s", at(9, 12))], "id string, source string, created_at timestamp")
-    tables.append_rows(logs, str(tmp_path / "logs"), REQUEST_LOG_FIELDS)
-    kept = tables.prune_log(spark, str(tmp_path / "logs"), F.lit(at(12, 6)), 3)
-    assert [r.id for r in kept.collect()] == ["3"]
-    tables.append_rows(spark.createDataFrame([("s", at(1))], "source string, created_at timestamp"), str(tmp_path / "an"), ANOMALY_FIELDS)
-    assert tables.read_or_empty(spark, str(tmp_path / "an"), ANOMALY_FIELDS).count() == 1
+    log = tables.BatchLog(spark, str(tmp_path / "logs"), REQUEST_LOG_FIELDS)
+    log.append(logs, "b1")
+    log.prune(F.lit(at(12, 6)), 3)
+    assert [r.id for r in log.read().collect()] == ["3"]
+    found = tables.BatchLog(spark, str(tmp_path / "an"), ANOMALY_FIELDS)
+    assert found.read().count() == 0
+    found.append(spark.createDataFrame([("s", at(1))], "source string, created_at timestamp"), "b1")
+    assert found.read().count() == 1
     assert tables.read_or_empty(spark, str(tmp_path / "none"), ANOMALY_FIELDS).count() == 0
+
+
+def test_a_log_survives_retries_and_keeps_newer_files(spark, tmp_path):
+    log = tables.BatchLog(spark, str(tmp_path / "logs"), REQUEST_LOG_FIELDS)
+
+    def rows(*named):
+        return spark.createDataFrame(named, "id string, created_at timestamp")
+
+    log.append(rows(("old", at(1)), ("lost", at(2))), "000000001")  # a first try that told other rows, on other days
+    log.append(rows(("old", at(1)), ("early", at(9, 5)), ("late", at(9, 7)), ("new", at(12)), ("undated", None)), "000000001")
+    log.append(rows(("alone", at(9, 1)), ("last", at(13))), "000000002")
+    assert {r.id for r in log.read().collect()} == {"old", "early", "late", "new", "undated", "alone", "last"}
+    newer = lambda: {p: p.stat().st_mtime_ns for d in ("12", "13") for p in (tmp_path / "logs").glob(f"*/day=2026-01-{d}/*.parquet")}
+    files = newer()
+    # What a prune lost between its steps leaves behind: the kept rows of the split day, still to be put in place.
+    split = log.read().where("id = 'late'").drop("day")
+    split.write.parquet(str(tmp_path / "logs.kept" / "day=2026-01-09"))
+    for _ in range(2):
+        log.prune(F.lit(at(12, 6)), 3)
+        assert {(r.id, r.batch) for r in log.read().collect()} == {
+            ("late", "000000001"), ("new", "000000001"), ("undated", "000000001"), ("last", "000000002"),
+        }
+    assert len(files) == 2 and newer() == files
+    assert not list((tmp_path / "logs").glob("*/day=2026-01-01")) and not list((tmp_path / "logs").glob("batch=000000002/day=2026-01-09"))
+
+
+def test_landed_pages_move_their_targets(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    found = spark.createDataFrame(
+        [("bring_a_trailer", "t", f"https://x.com/{name}/", 80, {}, i) for i, name in enumerate("abcdef")],
+        "source string, target_type string, url string, priority int, metadata map<string,string>, ord int",
+    ).withColumn("discovered_from", F.lit(None).cast("string"))
+    queue_targets(found, store, "000000000", F.lit(at(1)))
+
+    def land(batch, *pages, **how):
+        told = spark.createDataFrame(
+            [(i, "bring_a_trailer", "t", f"https://X.com/{name}", status, error, at(day), note) for i, name, status, error, day, note in pages],
+            "id string, source string, target_type string, url string, status_code int, fetch_error string, fetched_at timestamp,"
+            " metadata map<string,string>",
+        )
+        land_pages(told, store, batch, **how)
+
+    wait = {"retry_delay_seconds": "90.5"}
+    land("000000001", ("1", "a", 200, "", 2, None), ("2", "b", 503, None, 2, wait), ("3", "c", 429, None, 2, None),
+         ("4", "d", 404, None, 2, {}), ("5", "e", None, "timed out", 2, wait), ("9", "unknown", 200, None, 2, None))
+    second = [("6", "b", None, "reset", 3, wait), ("7", "e", 200, None, 3, None), ("1", "a", 200, "", 2, None)]
+    land("000000002", *second)
+    land("000000002", *second)  # once more, as after a lost driver
+    land("000000003", ("2", "b", 503, None, 2, wait), again=True)  # history read again
+    queue_targets(found.where("ord = 0").withColumn("priority", F.lit(5)), store, "000000004", F.lit(at(4)))  # found again
+    rows = {r.url[-2]: r for r in current_targets(spark, store).collect()}
+    assert {k: (r.state, r.attempts, r.last_error) for k, r in rows.items()} == {
+        "a": ("fetched", 1, None), "b": ("pending", 2, "reset"), "c": ("blocked", 1, "BaT returned 429"),
+        "d": ("error", 1, "BaT returned 404"), "e": ("fetched", 2, "timed out"), "f": ("pending", 0, None),
+    }
+    assert rows["a"].priority == 5 and rows["e"].metadata["raw_page_id"] == '"7"' and "raw_page_id" not in rows["b"].metadata
+    assert rows["b"].next_fetch_at == datetime(2026, 1, 3, 0, 1, 30, 500000) and rows["e"].next_fetch_at is None
+
+    def ready(when):
+        return [r.url[-2] for r in paging.ready_targets(current_targets(spark, store), "bring_a_trailer", F.lit(when), 9).collect()]
+
+    assert sorted(ready(datetime(2026, 1, 3, 0, 1))) == ["f"] and sorted(ready(datetime(2026, 1, 3, 0, 2))) == ["b", "f"]
