@@ -14,6 +14,7 @@ that makes up a third of the batch costs one row per task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ from lotledger.functions.maps import entries_to_map, last_entries
 from lotledger.schemas import DETAIL_FIELDS, LOT_FIELDS, RECORD_FIELDS
 
 PRESERVED = [c for c in DETAIL_FIELDS if c != "vehicle_details"]
+LAST = [c for c in RECORD_FIELDS if c not in PRESERVED]
 RAW_KEY = ["source", "source_auction_id", "canonical_url"]
 
 
@@ -99,15 +101,24 @@ def _is_filled(name: str) -> Column:
     return value.isNotNull() & (value != "{}") if name == "detail_payload" else value.isNotNull()
 
 
+def _blank() -> Column:
+    """Whether a payload is there but holds nothing: the one value that is neither missing nor filled."""
+    return (F.col("detail_payload") == "{}").alias("blank")
+
+
 def _states(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Mergeable state per key: last record, last detailed record, last filled fields."""
-    record = F.struct(*RECORD_FIELDS)
+    """Mergeable state per key: last record, what the last detailed record alone decides, last filled fields.
+
+    Each value is carried once. A preserved field of the last record, or of the last detailed one, is its last
+    filled value if that has the same place in the order, and else missing (or a blank payload); so neither record
+    repeats these fields, and page text stands in one column only.
+    """
     detail_at = F.when(F.col("detail_scraped_at").isNotNull(), F.col("at"))
     return records.groupBy(*keys).agg(
         F.max("at").alias("last_at"),
-        F.max_by(record, "at").alias("last"),
+        F.max_by(F.struct(*LAST, _blank()), "at").alias("last"),
         F.max(detail_at).alias("detail_at"),
-        F.max_by(record, detail_at).alias("detail"),
+        F.max_by(F.struct("vehicle_details", "image_urls", _blank()), detail_at).alias("detail"),
         F.count(F.lit(1)).alias("record_count"),
         *[
             F.max(F.when(_is_filled(f), F.struct("at", F.col(f).alias("value")))).alias(f"filled_{f}")
@@ -119,6 +130,7 @@ def _states(records: DataFrame, keys: list[str]) -> DataFrame:
 def _merge_states(states: DataFrame) -> DataFrame:
     return states.groupBy("lot_id").agg(
         F.max_by("last", "last_at").alias("last"),
+        F.max("last_at").alias("last_at"),
         F.max_by("detail", "detail_at").alias("detail"),
         F.max("detail_at").alias("detail_at"),
         F.sum("record_count").alias("record_count"),
@@ -130,23 +142,36 @@ def _merge_states(states: DataFrame) -> DataFrame:
 def _final_field(name: str) -> Column:
     """The closed form for one field over a merged state."""
     has_detail = F.col("detail_at").isNotNull()
-    last, detail = F.col(f"last.{name}"), F.col(f"detail.{name}")
     if name in PRESERVED:
-        filled = F.col(f"filled_{name}")
-        kept = F.when(filled["at"] >= F.col("detail_at"), filled["value"]).otherwise(detail)
-        return F.when(has_detail, kept).otherwise(last)
+        # Nothing is filled behind the last record, so "from it on" means "in it".
+        filled, since = F.col(f"filled_{name}"), F.coalesce("detail_at", "last_at")
+        blank = F.when(has_detail, F.col("detail.blank")).otherwise(F.col("last.blank"))
+        nothing = F.when(blank, "{}") if name == "detail_payload" else F.lit(None)
+        return F.when(filled["at"] >= since, filled["value"]).otherwise(nothing)
+    last = F.col(f"last.{name}")
     if name == "vehicle_details":
+        detail = F.col("detail.vehicle_details")
         since = F.filter(F.col("entries"), lambda e: e["at"] >= F.col("detail_at"))
         merged = F.when(F.size(since) > 0, entries_to_map(since)).otherwise(detail)
         return F.when(has_detail, merged).otherwise(last)
     if name == "image_urls":
-        return ordered_distinct(F.when(has_detail, detail).otherwise(last))
+        return ordered_distinct(F.when(has_detail, F.col("detail.image_urls")).otherwise(last))
     return last
 
 
-def upsert_lots(existing: DataFrame, incoming: DataFrame, now: Column, order: str = "ord") -> Upsert:
-    """Merge records (RECORD_FIELDS and a column that orders them) into the lot table."""
-    identities = resolve_identities(existing, incoming)
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def upsert_lots(
+    existing: DataFrame, incoming: DataFrame, now: Column, order: str = "ord", keep: Callable[[DataFrame], DataFrame] = _as_is
+) -> Upsert:
+    """Merge records (RECORD_FIELDS and a column that orders them, differently within a lot) into the lot table.
+
+    The identities are read by all parts of the result; a job that writes them gives `keep`, which stores them once and
+    reads them back.
+    """
+    identities = keep(resolve_identities(existing, incoming))
     good = identities.where(F.col("conflict").isNull()).select(_raw_key().alias("raw"), "lot_id")
     bad = identities.where(F.col("conflict").isNotNull()).select(_raw_key().alias("raw"), "lot_id", "conflict")
     records = incoming.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -95,15 +96,15 @@ def page_anomalies(loaded: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def parse_list_pages(
     loaded: DataFrame, parsed: DataFrame, lots: DataFrame, known_links: DataFrame, known_targets: DataFrame,
-    now: Column, version: str | None = None,
+    now: Column, version: str | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Parsed:
     """Result pages to lots, links, detail targets and the targets of the remaining pages.
 
     `loaded` and `parsed` come from `load_list_pages` and `parse_items`; a job that writes
-    several of the results keeps them in between, so that no page is parsed twice.
+    several of the results keeps them in between, so that no page is parsed twice, and stores the identities with `keep`.
     """
     records = list_items.accepted(parsed).withColumn("ord", _page_order(F.col("pos")))
-    merged = upsert.upsert_lots(lots, records.select(*RECORD_FIELDS, "ord"), now)
+    merged = upsert.upsert_lots(lots, records.select(*RECORD_FIELDS, "ord"), now, keep=keep)
 
     # Each page's distinct identities: a lot with very many records costs one row per page.
     placed = records.select("raw_page_id", *upsert.RAW_KEY).distinct().join(
@@ -154,13 +155,13 @@ def read_detail_pages(pages: DataFrame, lots: DataFrame) -> tuple[DataFrame, Dat
 
 def parse_detail_pages(
     pages: DataFrame, read: DataFrame, rejects: DataFrame, lots: DataFrame, known_links: DataFrame, now: Column,
-    version: str | None = None,
+    version: str | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Parsed:
     """Detail pages onto the stored lots they belong to (`read` from `read_detail_pages`)."""
     together = read.join(lots.select(F.col("id").alias("lot_id"), *RECORD_FIELDS), "lot_id")
     enriched = detail_pages.enriched_lots(together)
     records = enriched.withColumn("ord", _page_order(F.lit(0)))
-    merged = upsert.upsert_lots(lots, records.select(*RECORD_FIELDS, "ord"), now)
+    merged = upsert.upsert_lots(lots, records.select(*RECORD_FIELDS, "ord"), now, keep=keep)
     links = records.select("raw_page_id", "lot_id", F.lit("detail").alias("relationship_type"))
     counts = records.groupBy("raw_page_id").agg(
         F.count(F.lit(1)).alias("records_found"), F.count(F.lit(1)).alias("records_updated")

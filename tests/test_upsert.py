@@ -163,3 +163,29 @@ def test_detail_survives_a_later_list_record(spark):
     first = record(source_auction_id="1", sold_price=8, image_urls=["o"])
     row = upsert.upsert_lots(stored(spark, []), frame(spark, [first, unsold]), now()).lots.first()
     assert (row.auction_status, row.sold_price, row.image_urls, row.inserted) == ("reserve_not_met", None, ["n"], True)
+
+
+def test_page_text_is_carried_once(spark):
+    """The state that is shuffled has one column for the text of a detail page, and the identities are kept once."""
+    first = frame(spark, [record(source_auction_id="1", detail_html="<p>")])
+    state = upsert._states(first.withColumn("at", F.struct(F.lit(1), "ord")), ["source"])
+    assert state.schema.simpleString().count("detail_html") == 1 and "detail_html" in str(state.columns)
+    calls = []
+
+    def keep(df):
+        calls.append(df.columns)
+        return df
+
+    result = upsert.upsert_lots(stored(spark, []), first, now(), keep=keep)
+    assert result.lots.first().detail_html == "<p>"
+    assert len(calls) == 1 and "lot_id" in calls[0]
+
+
+def test_blank_and_missing_payloads_stay_apart(spark):
+    day = BASE + timedelta(days=1)
+    told = [("1", [None]), ("2", ["{}"]), ("3", ['{"a":1}', None]), ("4", ['{"a":1}', "{}"])]
+    rows = [record(source_auction_id=i, canonical_url=f"https://u/{i}", detail_payload=p) for i, ps in told for p in ps]
+    detailed = [dict(r, source_auction_id="d" + r["source_auction_id"], canonical_url=r["canonical_url"] + "d", detail_scraped_at=day) for r in rows]
+    lots = upsert.upsert_lots(stored(spark, []), frame(spark, rows + detailed), now()).lots
+    found = {r.source_auction_id: r.detail_payload for r in lots.collect()}
+    assert found == {"1": None, "2": "{}", "3": None, "4": "{}", "d1": None, "d2": "{}", "d3": None, "d4": "{}"}
