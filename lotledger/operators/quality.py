@@ -144,5 +144,13 @@ def empty_directory(entries: DataFrame) -> DataFrame:
     )
 
 
+def empty_directories(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Directory pages (raw_page_id, url) that gave no entry; `entries` names its `page`."""
+    bare = pages.join(entries.select(F.col("page").alias("raw_page_id")), "raw_page_id", "left_anti")
+    return _anomalies(
+        bare, FIRST_SITE, CRITICAL, "models_directory_empty", F.lit("BaT models directory returned no crawl targets."), []
+    )
+
+
 def all_anomalies(*rules: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rules)

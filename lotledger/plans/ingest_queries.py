@@ -15,6 +15,7 @@ from lotledger.operators.filters import equal_to, keep, raw_page_predicates
 from lotledger.plans import replay
 from lotledger.plans.oracle_views import LOTS, PAGES, canonical_sql
 from lotledger.plans.registry import Registry
+from lotledger.plans.runs import RunContext
 from lotledger.schemas import LOT_FIELDS, RECORD_FIELDS, TARGET_FIELDS, camel_json, shaped
 from lotledger.session import shared_folder
 from lotledger.sources import derived, observed
@@ -922,6 +923,99 @@ def _(spark, folder):
     return found.select("run_id", "source", "severity", "code", own.alias("url"), "message")
 
 
+def _ingested(spark, folder):
+    """A store after two runs over all pages: sound lists (every fiftieth part refused), answers of the second site and some
+    detail pages; then the lists without any lot and the model directories."""
+    store = ingest.Store(f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+    refused = F.when(F.col("l_partkey") % 50 == 0, 429).otherwise(200)
+    lists = derived.result_pages(spark, folder)
+    details = derived.detail_html(spark, folder).where(F.col("l_linenumber") == 2).select(
+        F.concat_ws("-", F.lit("t"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.lit("bring_a_trailer").alias("source"), F.lit("bat_detail_page").alias("target_type"),
+        F.col("canonical_url").alias("url"), F.lit("text/html").alias("content_type"), F.col("html").alias("content"),
+        F.lit("1999-06-01").cast("timestamp_ntz").alias("fetched_at"),
+    )
+    first = lists.where(F.col("defect").isNull()).withColumn("status_code", refused)
+    for other in (derived.captured_answers(spark, folder), details):
+        first = first.unionByName(other, allowMissingColumns=True)
+    second = lists.where(F.col("defect").isNotNull()).unionByName(derived.directory_pages(spark, folder), allowMissingColumns=True)
+    for number, pages in enumerate((first, second), 1):
+        run = RunContext(f"run-{number}", page_limit=3)
+        ingest.ingest_pages(register_pages(pages), store, f"{number:09d}", buckets=8, run=run)
+    return store
+
+
+_RUNS = ITEMS + f""", lists AS (SELECT *, {_PAGE_ID} AS page_id, concat('https://bringatrailer.com/make-', l_suppkey, '/') AS url,
+  CASE WHEN defect IS NULL THEN 'run-1' ELSE 'run-2' END AS run_id, CASE WHEN l_linenumber = 7 THEN 1 ELSE l_linenumber END AS pages_total,
+  l_linenumber % 3 <> 0 AS is_html, defect IS NULL AND l_partkey % 50 = 0 AS refused FROM items),
+answers AS (SELECT *, 'run-1' AS run_id, concat('https://carsandbids.com/past-auctions/?q=', l_suppkey) AS url,
+  coalesce(defect = 'parse_error', FALSE) AS is_empty, coalesce({_SECOND_LOST}, FALSE) AS lost,
+  row_number() OVER (PARTITION BY source_auction_id, coalesce({_SECOND_LOST} OR defect = 'parse_error', FALSE) ORDER BY l_shipdate, concat('c-', {_PAGE_ID})) AS nth FROM items),
+sound AS (SELECT * FROM lists WHERE defect IS NULL AND NOT refused)
+"""
+
+
+@register(
+    "ingest_anomalies",
+    _RUNS + """SELECT NULL AS run_id, 'bring_a_trailer' AS source, 'critical' AS severity, 'blocked_response' AS code, url,
+ 'request refused by bring_a_trailer' AS message FROM lists WHERE refused
+UNION ALL SELECT run_id, 'bring_a_trailer', 'warning', 'bat_pagination_incomplete', url,
+ concat('BaT page ', url, ' exposes ', pages_total, ' completed-result pages; incremental mode will parse 3 pages.') FROM lists WHERE NOT refused AND is_html AND pages_total > 3
+UNION ALL SELECT run_id, 'bring_a_trailer', 'critical', 'bat_pagination_missing_filter', url,
+ concat('BaT page ', url, ' has more pages but no base_filter metadata.') FROM lists WHERE NOT refused AND is_html AND pages_total > 1 AND l_linenumber % 2 = 1
+UNION ALL SELECT run_id, 'bring_a_trailer', 'warning', 'zero_parsed_lots', url,
+ concat('BaT page ', url, ' returned raw items but parsed zero lots.') FROM lists WHERE defect IS NOT NULL
+UNION ALL SELECT NULL, 'bring_a_trailer', 'warning', 'parse_error', canonical_url, 'BaT completed-result item failed to parse.' FROM lists WHERE defect = 'parse_error'
+UNION ALL SELECT run_id, 'cars_and_bids', 'critical', 'no_closed_auction_response', url, 'Cars & Bids returned no closed-auction API results.' FROM answers WHERE is_empty
+UNION ALL SELECT run_id, 'cars_and_bids', 'warning', 'zero_parsed_lots', url, 'Cars & Bids returned raw auctions but parsed zero lots.'
+ FROM answers WHERE NOT is_empty AND (lost OR nth > 1)
+UNION ALL SELECT 'run-2', 'bring_a_trailer', 'warning', 'zero_lots', NULL, 'bring_a_trailer returned zero auction lots.'
+ WHERE EXISTS (SELECT 1 FROM lists WHERE defect IS NOT NULL)
+UNION ALL SELECT 'run-1', 'bring_a_trailer', 'warning', 'missing_detail_enrichment', NULL, concat('bring_a_trailer has ', count(DISTINCT source_auction_id),
+ ' persisted lots from this run without detail enrichment.') FROM sound WHERE l_linenumber <> 2 HAVING count(*) > 0
+UNION ALL SELECT 'run-2', 'bring_a_trailer', 'critical', 'models_directory_empty', concat('https://bringatrailer.com/models/?s=', s_suppkey),
+ 'BaT models directory returned no crawl targets.' FROM supplier WHERE s_suppkey % 2 = 1""",
+)
+def _(spark, folder):
+    found = ingest.stored_anomalies(spark, _ingested(spark, folder))
+    return found.select("run_id", "source", "severity", "code", "url", "message")
+
+
+@register(
+    "ingest_runs_and_state",
+    _RUNS + """, runs AS (
+ SELECT 'run-1' AS id, 'bring_a_trailer' AS source, count(*) AS found, count(DISTINCT source_auction_id) AS inserted FROM sound
+ UNION ALL SELECT 'run-1', 'cars_and_bids', count(*), count(DISTINCT source_auction_id) FROM answers WHERE NOT is_empty AND NOT lost
+ UNION ALL SELECT 'run-2', 'bring_a_trailer', 0, 0)
+SELECT id, source, 'incremental' AS mode, 'success' AS status, CAST(found AS INTEGER) AS records_found,
+ CAST(inserted AS INTEGER) AS records_inserted, CAST(found - inserted AS INTEGER) AS records_updated,
+ CASE WHEN source = 'bring_a_trailer' THEN '0' ELSE CAST(found AS VARCHAR) END AS last_found,
+ CASE WHEN source = 'bring_a_trailer' THEN '0' ELSE CAST(inserted AS VARCHAR) END AS last_ids FROM runs""",
+)
+def _(spark, folder):
+    store = _ingested(spark, folder)
+    state = ingest.crawl_state(spark, store).select(
+        "source", "mode", F.col("state")["records_found"].alias("last_found"), F.col("state")["auction_ids_discovered"].alias("last_ids")
+    )
+    runs = ingest.stored_runs(spark, store).join(state, ["source", "mode"], "left")
+    return runs.select(
+        "id", "source", "mode", "status", "records_found", "records_inserted", "records_updated", "last_found", "last_ids"
+    )
+
+
+@register(
+    "targets_seeded_by_directories",
+    """SELECT concat('https://bringatrailer.com/make-', s_suppkey, '/') AS url, 'pending' AS state, 20 AS priority, '"Model & Co"' AS label
+FROM supplier WHERE s_suppkey % 2 = 0""",
+)
+def _(spark, folder):
+    store = ingest.Store(f"{shared_folder(spark)}/seeds-{uuid.uuid4().hex}")
+    landed = ingest.land_pages(register_pages(derived.directory_pages(spark, folder)), store, "000000001")
+    for _ in range(2):
+        ingest.seed_from_directories(landed, store, "000000001", F.lit("2024-01-01").cast("timestamp"))
+    return ingest.current_targets(spark, store).select("url", "state", "priority", F.col("metadata")["label"].alias("label"))
+
+
 @register(
     "lot_json_records",
     LOTS + """SELECT concat('{"id":"', id, '","sourceAuctionId":"', source_auction_id, '","auctionStatus":"', auction_status,

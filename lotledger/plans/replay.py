@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotledger.operators import detail_pages, list_items, provenance, quality, tallies, targets, upsert
-from lotledger.schemas import DETAIL_PAGE, FIRST_SITE, RECORD_FIELDS, SECOND_SITE, TARGET_FIELDS
+from lotledger.plans.runs import RunContext
+from lotledger.schemas import DETAIL_PAGE, DIRECTORY_PAGE, FIRST_SITE, RECORD_FIELDS, SECOND_SITE, TARGET_FIELDS
 from lotledger.sources.listing_pages import exploded_items, with_paging, with_payload
 
 # Parser names and versions of the parse-run record.
@@ -50,6 +51,10 @@ def detail_pages_of(pages: DataFrame) -> DataFrame:
     return answered(pages).where((F.col("source") == FIRST_SITE) & (F.col("target_type") == DETAIL_PAGE))
 
 
+def directory_pages(pages: DataFrame) -> DataFrame:
+    return answered(pages).where((F.col("source") == FIRST_SITE) & (F.col("target_type") == DIRECTORY_PAGE))
+
+
 def _page_order(position: Column) -> Column:
     return F.struct(F.col("fetched_at"), F.col("raw_page_id"), position.cast("int").alias("pos"))
 
@@ -84,19 +89,38 @@ def parse_items(loaded: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def page_anomalies(loaded: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Result pages that gave no lot, and answers of the second site without any item. The run of a stored page is the page itself."""
-    pages = loaded.where("readable").select(F.col("raw_page_id").alias("run_id"), F.col("url").alias("page"), "source")
-    told = parsed.select("raw_page_id", F.col("pos").alias("ord"), "skip_reason", F.col("lot.canonical_url").alias("canonical_url"))
-    items = told.withColumnRenamed("raw_page_id", "run_id").join(pages.select("run_id", "page"), "run_id")
-    tally = tallies.page_tally(items, pages).join(pages, ["run_id", "page"]).withColumn("url", F.col("page"))
+def page_anomalies(loaded: DataFrame, parsed: DataFrame, run: RunContext | None = None) -> DataFrame:
+    """Result pages that gave no lot, answers of the second site without any item and, if the run is known, lists that it will not read to their end.
+
+    Without a run each stored page is a run of its own; with one, a lot counts for the first page of the run that lists it.
+    """
+    own = F.col("raw_page_id") if run is None else F.lit(run.run_id)
+    paging = ["items_total", "pages_total", "page_current", "base_filter", "is_json"]
+    pages = loaded.where("readable").select(own.alias("run_id"), F.col("raw_page_id").alias("page"), "url", "source", *paging)
+    items = parsed.select(
+        own.alias("run_id"), F.col("raw_page_id").alias("page"), _page_order(F.col("pos")).alias("ord"), "skip_reason",
+        F.col("lot.canonical_url").alias("canonical_url"),
+    ).join(pages.select("page"), "page", "left_semi")
+    tally = tallies.page_tally(items, pages).join(pages, ["run_id", "page"]).withColumn("page", F.col("url"))
     first, second = (tally.where(F.col("source") == site).drop("source") for site in (FIRST_SITE, SECOND_SITE))
-    return quality.all_anomalies(quality.nothing_parsed(first), quality.nothing_parsed(second, SECOND_SITE), quality.no_response(second))
+    rules = [quality.nothing_parsed(first), quality.nothing_parsed(second, SECOND_SITE), quality.no_response(second)]
+    if run is not None:
+        # Pages of the API continue a list that was judged by its first page.
+        lists = first.where(~F.col("is_json")).withColumns(
+            {
+                "label": F.col("url"),
+                "parsed_first_page": F.col("parsed_lot_count"),
+                "page_limit": targets.page_limit(F.col("pages_total"), run.mode, run.page_limit),
+            }
+        )
+        rules += [quality.pagination_incomplete(lists, run.mode), quality.pagination_without_filter(lists)]
+    return quality.all_anomalies(*rules)
 
 
 def parse_list_pages(
     loaded: DataFrame, parsed: DataFrame, lots: DataFrame, known_links: DataFrame, known_targets: DataFrame,
     now: Column, version: str | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    run: RunContext | None = None,
 ) -> Parsed:
     """Result pages to lots, links, detail targets and the targets of the remaining pages.
 
@@ -136,7 +160,7 @@ def parse_list_pages(
         ),
         rejects=rejects,
         conflicts=merged.conflicts,
-        anomalies=quality.all_anomalies(quality.unreadable_items(rejects.where(F.col("site") == FIRST_SITE)), page_anomalies(loaded, parsed)),
+        anomalies=quality.all_anomalies(quality.unreadable_items(rejects.where(F.col("site") == FIRST_SITE)), page_anomalies(loaded, parsed, run)),
     )
 
 

@@ -165,7 +165,26 @@ def result_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.when(html_page, "text/html").otherwise("application/json").alias("content_type"),
         F.when(html_page, html).otherwise(F.concat(data, F.lit("}"))).alias("content"),
         F.col("ord.l_shipdate").alias("fetched_at"),
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("page").alias("l_suppkey"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("page").alias("l_suppkey"), "defect",
+    )
+
+
+def directory_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One model directory per supplier; those of odd suppliers link to nothing but motorcycles."""
+    rows = table(spark, folder, "supplier").select("s_suppkey")
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("make-"), F.col("s_suppkey").cast("string"))).otherwise("motorcycles")
+    link = F.concat(
+        F.lit('<a class="previous-listing-image-link" href="https://bringatrailer.com/'), name,
+        F.lit('/"><img src="x.jpg" alt="Model &amp; Co"></a>'),
+    )
+    return rows.select(
+        F.concat(F.lit("d-"), F.col("s_suppkey").cast("string")).alias("id"),
+        F.lit("bring_a_trailer").alias("source"),
+        F.lit("bat_models_directory").alias("target_type"),
+        F.concat(F.lit("https://bringatrailer.com/models/?s="), F.col("s_suppkey").cast("string")).alias("url"),
+        F.lit("text/html").alias("content_type"),
+        F.concat(F.lit("<html><body>"), link, F.lit("</body></html>")).alias("content"),
+        F.lit("1999-01-01").cast("timestamp_ntz").alias("fetched_at"),
     )
 
 

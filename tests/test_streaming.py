@@ -6,10 +6,20 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from samples import API_ITEM, DETAIL_PAGE, LIST_ITEM, result_html
 
+from lotledger.plans.runs import RunContext
 from lotledger.schemas import REQUEST_LOG_FIELDS, shaped
 from lotledger.sources.raw_pages import register_pages
 from lotledger.streaming import feed
-from lotledger.streaming.ingest import Store, current_targets, ingest_pages, start_ingest, stored_lots
+from lotledger.streaming.ingest import (
+    Store,
+    crawl_state,
+    current_targets,
+    ingest_pages,
+    start_ingest,
+    stored_anomalies,
+    stored_lots,
+    stored_runs,
+)
 
 SECOND = {**LIST_ITEM, "id": 2, "title": "2001 Land Rover Discovery SE", "url": "https://bringatrailer.com/listing/disco/"}
 
@@ -154,3 +164,38 @@ def test_both_sites_in_one_batch(spark, tmp_path):
         runs = _runs(spark, store)
         assert runs["10"] == ("captured_auctions", 2, 2, 0, 0) and runs["11"] == ("captured_auctions", 0, 0, 0, 0)
         assert {t.source for t in current_targets(spark, store).collect()} == {"bring_a_trailer"}
+
+
+def test_run_is_judged_and_closed_once(spark, tmp_path):
+    """All rules of a run in one table, its record and the crawl state; a batch that comes again after its lots got details changes none."""
+    store, run = Store(str(tmp_path / "store")), RunContext(page_limit=2)
+    first, detail, _ = _pages(spark)
+    directory = _page(spark, 4, "bat_models_directory", "https://bringatrailer.com/models/", "<html></html>")
+    answer = _page(spark, 5, "closed_auction_search", "https://carsandbids.com/past-auctions/", json.dumps({"auctions": []}), "application/json")
+    refused = _page(spark, 6, "bat_model_page", "https://bringatrailer.com/audi/", "").withColumn("status_code", F.lit(403))
+    batch = first.unionByName(directory).unionByName(answer.withColumn("source", F.lit("cars_and_bids"))).unionByName(refused)
+
+    def seen():
+        anomalies = sorted((a.code, a.run_id or "", a.source) for a in stored_anomalies(spark, store).collect())
+        records = sorted((r.id, r.source, r.status, r.records_found, r.records_inserted) for r in stored_runs(spark, store).collect())
+        state = {r.source: (r.state["records_found"], r.state["last_status"]) for r in crawl_state(spark, store).collect()}
+        return anomalies, records, state
+
+    ingest_pages(batch, store, "000000001", buckets=4, run=run)
+    expected = (
+        [
+            ("bat_pagination_incomplete", "000000001", "bring_a_trailer"),
+            ("blocked_response", "", "bring_a_trailer"),
+            ("missing_detail_enrichment", "000000001", "bring_a_trailer"),
+            ("models_directory_empty", "000000001", "bring_a_trailer"),
+            ("no_closed_auction_response", "000000001", "cars_and_bids"),
+            ("zero_lots", "000000001", "cars_and_bids"),
+        ],
+        [("000000001", "bring_a_trailer", "success", 2, 2), ("000000001", "cars_and_bids", "success", 0, 0)],
+        {"bring_a_trailer": ("2", '"success"'), "cars_and_bids": ("0", '"success"')},
+    )
+    assert seen() == expected
+    assert all(a.created_at is not None for a in stored_anomalies(spark, store).collect())
+    ingest_pages(detail, store, "000000002", buckets=4)  # no run: nothing to close
+    ingest_pages(batch, store, "000000001", buckets=4, run=run)
+    assert seen() == expected
