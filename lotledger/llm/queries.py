@@ -24,7 +24,33 @@ def op4_katz_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score(table(spark, folder, "documents"))
 
 
-@REGISTRY.query("op2_bottomk_near_dedup")
+NEAR_SQL = """
+with recursive docs as (
+  select doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as words
+  from documents
+),
+shingles as (
+  select distinct doc_id, array_to_string(words[i : i + 4], ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from docs where len(words) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b
+  from shingles x join shingles y on x.shingle = y.shingle and x.doc_id < y.doc_id
+  join sizes a on a.doc_id = x.doc_id join sizes b on b.doc_id = y.doc_id
+  group by all having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, l.b from reach r join (select a, b from links union all select b, a from links) l on l.a = r.b
+)
+select a as doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(b) as component_id, a = min(b) as kept
+from reach left join sizes on doc_id = a group by a
+"""
+
+
+@REGISTRY.query("op2_bottomk_near_dedup", NEAR_SQL)
 def op2_bottomk_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, folder, "documents")).drop("text_hash")
 
@@ -110,7 +136,29 @@ def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-@REGISTRY.query("op8_countmin_substring_dedup")
+REPEATS_SQL = """
+with docs as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as words from documents
+),
+windows as (
+  select doc_id, i, array_to_string(words[i : i + 12], ' ') as passage
+  from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from docs)
+),
+firsts as (select passage, min(doc_id) as first_id from windows group by passage having count(distinct doc_id) > 1),
+covered as (
+  select distinct doc_id, unnest(range(i, i + 13)) as i from windows join firsts using (passage) where first_id < doc_id
+),
+words as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from docs),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by i) as text
+  from words where (doc_id, i) not in (select doc_id, i from covered) group by doc_id
+)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
+
+@REGISTRY.query("op8_countmin_substring_dedup", REPEATS_SQL)
 def op8_countmin_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(table(spark, folder, "documents"))
 
