@@ -15,6 +15,7 @@ from lotledger.schemas import REQUEST_LOG_FIELDS
 from lotledger.session import shared_folder
 from lotledger.sources import observed
 from lotledger.sources.tables import BatchLog
+from lotledger.streaming import feed
 
 REGISTRY = Registry()
 register = REGISTRY.query
@@ -245,6 +246,24 @@ def _(spark, folder):
     return quality.undetailed_run(open_lots.select("id", "source")).select("source", "code", "severity", "message")
 
 
+@register(
+    "feed_event_counts",
+    LOGS + """, told AS (
+ SELECT source, CASE outcome WHEN 'success' THEN 'progress' WHEN 'blocked' THEN 'error' WHEN 'error' THEN 'error' ELSE 'warning' END AS event, created_at AS moment, 0 AS lots FROM request_logs
+ UNION ALL SELECT source, CASE severity WHEN 'critical' THEN 'error' ELSE 'warning' END, created_at, 0 FROM anomalies
+ UNION ALL SELECT source, 'start', started_at, 0 FROM runs
+ UNION ALL SELECT source, CASE status WHEN 'success' THEN 'complete' ELSE 'error' END, finished_at, records_found FROM runs WHERE status <> 'running')
+SELECT source, event, count(*) AS events, CAST(sum(lots) AS BIGINT) AS lots, CAST(max(moment) AS TIMESTAMP) AS last_at FROM told GROUP BY source, event""",
+)
+def _(spark, folder):
+    logs = observed.request_logs(spark, folder).withColumn("parsed_lot_count", F.lit(0))
+    runs = observed.runs(spark, folder)
+    # Every run writes its record when it starts, and again when it has ended.
+    begun = runs.withColumns({"status": F.lit("running"), "finished_at": F.lit(None).cast(runs.schema["finished_at"].dataType)})
+    told = feed.events(logs, observed.anomalies(logs), begun.unionByName(runs))
+    return feed.event_counts(told).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+
+
 @register(
     "request_outcomes",
     LOGS + """SELECT id, CASE WHEN status_code IN (401, 403, 407, 429) THEN 'blocked' WHEN status_code < 400 THEN 'success'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from samples import API_ITEM, DETAIL_PAGE, LIST_ITEM, result_html
 
 from lotledger.plans.runs import RunContext
-from lotledger.schemas import REQUEST_LOG_FIELDS, shaped
+from lotledger.schemas import ANOMALY_FIELDS, REQUEST_LOG_FIELDS, RUN_FIELDS, shaped
 from lotledger.sources.raw_pages import register_pages
 from lotledger.streaming import feed
 from lotledger.streaming.ingest import (
@@ -15,6 +15,8 @@ from lotledger.streaming.ingest import (
     crawl_state,
     current_targets,
     ingest_pages,
+    land_pages,
+    seen_pages,
     start_ingest,
     stored_anomalies,
     stored_lots,
@@ -199,3 +201,55 @@ def test_run_is_judged_and_closed_once(spark, tmp_path):
     ingest_pages(detail, store, "000000002", buckets=4)  # no run: nothing to close
     ingest_pages(batch, store, "000000001", buckets=4, run=run)
     assert seen() == expected
+
+
+def test_batch_reads_seen_pages_of_its_own_days_only(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    page = _page(spark, 1, "bat_model_page", "https://bringatrailer.com/a/", "x")
+    days = [page.withColumns({"id": F.lit(f"p{day}"), "fetched_at": F.lit(f"2026-04-0{day}").cast("timestamp")}) for day in (1, 2, 3)]
+    for number, landing in enumerate(days):
+        land_pages(landing, store, f"00000000{number}")
+    again = days[1].unionByName(page.withColumns({"id": F.lit("new"), "fetched_at": F.lit("2026-04-02 12:00:00").cast("timestamp")}))
+    for _ in range(2):  # the batch itself comes twice, too
+        assert [r.id for r in land_pages(again, store, "000000003").collect()] == ["new"]
+    read = seen_pages(spark, store, ["2026-04-02", "2026-04-09"], "000000004")
+    assert sorted(r.id for r in read.collect()) == ["new", "p2"]
+    assert read.inputFiles() and all("/day=2026-04-02/" in f for f in read.inputFiles())
+
+
+def test_feed_of_all_kinds_as_stream_and_as_frame(spark, tmp_path):
+    """Requests, anomalies and runs in one feed; a run starts and ends once, however often its record comes."""
+    folders = {name: str(tmp_path / name) for name in ("logs", "anomalies", "runs")}
+
+    def add(name, fields, schema, *rows):
+        shaped(spark.createDataFrame(rows, schema), fields).coalesce(1).write.mode("append").parquet(folders[name])
+
+    def run(*rows):
+        add("runs", RUN_FIELDS, "id string, source string, status string, started_at timestamp, finished_at timestamp, records_found int, error string", *rows)
+
+    def counted(rows):
+        return {(r.source, r.event): (r.events, r.lots) for r in rows.collect()}
+
+    def drain():
+        parts = feed.log_stream(spark, folders["logs"]), feed.anomaly_stream(spark, folders["anomalies"]), feed.run_stream(spark, folders["runs"])
+        query = (
+            feed.event_counts(feed.events(*parts)).writeStream.outputMode("complete").format("memory")
+            .queryName("feed_all").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        frames = feed.events(*[spark.read.parquet(folders[n]) for n in ("logs", "anomalies", "runs")])
+        streamed = counted(spark.table("feed_all"))
+        assert streamed == counted(feed.event_counts(frames))
+        return streamed
+
+    day = datetime(2026, 1, 1)
+    add("logs", REQUEST_LOG_FIELDS, "id string, source string, outcome string, parsed_lot_count int, created_at timestamp", ("1", "a", "success", 5, day))
+    add("anomalies", ANOMALY_FIELDS, "source string, severity string, message string, created_at timestamp", ("a", "critical", "m", day), ("b", "warning", "m", day))
+    run(("r1", "a", "running", day, None, None, None), ("r2", "b", "running", day, None, None, None))
+    assert drain() == {("a", "progress"): (1, 5), ("a", "error"): (1, 0), ("b", "warning"): (1, 0), ("a", "start"): (1, 0), ("b", "start"): (1, 0)}
+    ended = datetime(2026, 1, 1, 3)
+    run(("r1", "a", "success", day, ended, 5, None), ("r2", "b", "error", day, ended, 0, "lost"), ("r1", "a", "success", day, ended, 5, None))
+    assert drain() == {
+        ("a", "progress"): (1, 5), ("a", "error"): (1, 0), ("b", "warning"): (1, 0), ("a", "start"): (1, 0), ("b", "start"): (1, 0),
+        ("a", "complete"): (1, 5), ("b", "error"): (1, 0),
+    }
