@@ -203,18 +203,18 @@ def test_run_is_judged_and_closed_once(spark, tmp_path):
     assert seen() == expected
 
 
-def test_batch_reads_seen_pages_of_its_own_days_only(spark, tmp_path):
+def test_batch_reads_seen_pages_of_its_own_months_only(spark, tmp_path):
     store = Store(str(tmp_path / "store"))
     page = _page(spark, 1, "bat_model_page", "https://bringatrailer.com/a/", "x")
-    days = [page.withColumns({"id": F.lit(f"p{day}"), "fetched_at": F.lit(f"2026-04-0{day}").cast("timestamp")}) for day in (1, 2, 3)]
+    days = [page.withColumns({"id": F.lit(f"p{month}"), "fetched_at": F.lit(f"2026-0{month}-02").cast("timestamp")}) for month in (3, 4, 5)]
     for number, landing in enumerate(days):
         land_pages(landing, store, f"00000000{number}")
     again = days[1].unionByName(page.withColumns({"id": F.lit("new"), "fetched_at": F.lit("2026-04-02 12:00:00").cast("timestamp")}))
     for _ in range(2):  # the batch itself comes twice, too
         assert [r.id for r in land_pages(again, store, "000000003").collect()] == ["new"]
-    read = seen_pages(spark, store, ["2026-04-02", "2026-04-09"], "000000004")
-    assert sorted(r.id for r in read.collect()) == ["new", "p2"]
-    assert read.inputFiles() and all("/day=2026-04-02/" in f for f in read.inputFiles())
+    read = seen_pages(spark, store, ["2026-04-02", "2026-06-09"], "000000004")
+    assert sorted(r.id for r in read.collect()) == ["new", "p4"]
+    assert read.inputFiles() and all("/month=2026-04/" in f for f in read.inputFiles())
 
 
 def test_feed_of_all_kinds_as_stream_and_as_frame(spark, tmp_path):
