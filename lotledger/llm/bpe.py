@@ -29,22 +29,23 @@ ship(__name__)
 
 CACHED, ROUND_WORDS, LONG = 600_000, 60_000, 256
 
-# A row is a token of a word at a place, with the token behind it. Rank and place make one number to compare by.
+# A row is a token of a word at a place, with the token behind it. Rank and place make one number to compare by, and its
+# upper bits are the token that the pair becomes.
 ENCODE = """
 with recursive state as (
   select word, place, token, next_token, false as done from start
   union all
   select word, place,
-    case when key = best then merged else token end as token,
-    case when key = best then after_next when next_key = best then next_merged else next_token end as next_token,
+    case when key = best then (key >> 16)::int else token end as token,
+    case when key = best then after_next when next_key = best then (next_key >> 16)::int else next_token end as next_token,
     best is null as done
   from (
-    select word, place, token, next_token, key, merged,
+    select word, place, token, next_token, key,
       min(key) over whole as best,
-      lead(key) over ordered as next_key, lead(merged) over ordered as next_merged,
+      lead(key) over ordered as next_key,
       lead(next_token) over ordered as after_next, lag(key) over ordered as last_key
     from (
-      select s.word, s.place, s.token, s.next_token, m.merged, m.merged::bigint * 65536 + s.place as key
+      select s.word, s.place, s.token, s.next_token, m.merged::bigint * 65536 + s.place as key
       from state s left join merges m on m.token = s.token and m.next_token = s.next_token
       where not s.done
     )
@@ -66,6 +67,12 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of runs, one run after the other."""
+    stops = np.cumsum(lengths)
+    return np.repeat(starts - stops + lengths, lengths) + np.arange(lengths.sum())
+
+
 class Codec:
     """Vocabulary and merge table in a DuckDB database of the worker's own, in memory."""
 
@@ -94,12 +101,12 @@ class Codec:
 
     def clear(self) -> None:
         self.chunk = Codes()
-        self.words: dict[str, np.ndarray] = {}
-        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.words: dict[str, int] = {}
+        self.word_starts = self.word_lengths = self.starts = self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def merged(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of the words by the recursive query."""
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words by the recursive query, one word after the other, and how many each has."""
         data = np.frombuffer(b"".join(words), np.uint8)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         token = self.bytes[data]
@@ -114,7 +121,7 @@ class Codec:
         }))
         out = self.sql.execute(ENCODE).fetchnumpy()
         self.sql.unregister("start")
-        return np.split(out["token"].astype(np.int32), np.flatnonzero(np.diff(out["word"])) + 1)
+        return out["token"].astype(np.int32), np.bincount(out["word"], minlength=len(words))
 
     def merged_long(self, word: bytes) -> np.ndarray:
         """The same with a heap of pairs, for one very long word."""
@@ -145,24 +152,52 @@ class Codec:
     def learn(self, chunks: list[str]) -> None:
         """Ids of pieces of text, each match of the pattern on its own."""
         matches = [[c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else self.split.findall(c) for c in chunks]
-        unknown = [w for w in dict.fromkeys(itertools.chain.from_iterable(matches)) if w not in self.words]
-        rest = []
-        for word in unknown:
+        self.add_words([w for w in dict.fromkeys(itertools.chain.from_iterable(matches)) if w not in self.words])
+        numbers = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(matches)), np.int64)
+        counts = np.fromiter(map(len, matches), np.int64, len(matches))
+        firsts = np.cumsum(counts) - counts
+        each = self.word_lengths[numbers]
+        after = np.concatenate([[0], np.cumsum(each)])
+        lengths = after[firsts + counts] - after[firsts]
+        # A piece that is one match has the place of its word; the ids of others are put together behind all words.
+        alone, starts = counts == 1, np.zeros(len(matches), np.int64)
+        starts[alone] = self.word_starts[numbers[firsts[alone]]]
+        starts[~alone] = len(self.flat) + np.cumsum(lengths[~alone]) - lengths[~alone]
+        inside = np.repeat(~alone, counts)
+        together = self.flat[_places(self.word_starts[numbers[inside]], each[inside])]
+        self.flat = np.concatenate([self.flat, together])
+        self.starts = np.concatenate([self.starts, starts])
+        self.lengths = np.concatenate([self.lengths, lengths])
+
+    def add_words(self, words: list[str]) -> None:
+        """Keep the ids of new words."""
+        whole, rest, names, ids, lengths = [], [], [], [], []
+        for word in words:
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.words[word] = np.array([rank], np.int32)
-            elif len(data) > LONG:
-                self.words[word] = self.merged_long(data)
+                names.append(word)
+                whole.append(rank)
             else:
                 rest.append((word, data))
-        for i in range(0, len(rest), ROUND_WORDS):
-            part = rest[i : i + ROUND_WORDS]
-            self.words.update(zip([w for w, _ in part], self.merged([d for _, d in part]), strict=True))
-        ids = [[self.words[w] for w in m] for m in matches]
-        lengths = np.array([sum(map(len, x)) for x in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *itertools.chain.from_iterable(ids)])
+        ids.append(np.array(whole, np.int32))
+        lengths.append(np.ones(len(whole), np.int64))
+        for word, data in rest:
+            if len(data) > LONG:
+                names.append(word)
+                ids.append(self.merged_long(data))
+                lengths.append(np.array([len(ids[-1])]))
+        short = [(w, d) for w, d in rest if len(d) <= LONG]
+        for i in range(0, len(short), ROUND_WORDS):
+            part = short[i : i + ROUND_WORDS]
+            names += [w for w, _ in part]
+            found = self.merged([d for _, d in part])
+            ids.append(found[0])
+            lengths.append(found[1])
+        sizes = np.concatenate(lengths)
+        self.words.update(zip(names, range(len(self.words), len(self.words) + len(names)), strict=True))
+        self.word_starts = np.concatenate([self.word_starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.word_lengths = np.concatenate([self.word_lengths, sizes])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def chunks(self, text: str) -> list[str]:
         """The text in pieces that no match of the pattern crosses.
@@ -188,8 +223,7 @@ class Codec:
             self.chunk.new = []
         lengths = self.lengths[codes]
         after = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.repeat(self.starts[codes] - after[:-1], lengths) + np.arange(after[-1])
-        return self.flat[places], after[stops]
+        return self.flat[_places(self.starts[codes], lengths)], after[stops]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text from its ids."""

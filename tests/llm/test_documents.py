@@ -55,6 +55,19 @@ def test_bpe_of_long_words():
         assert codec.merged([text.encode()[:200]])[0].tolist() == codec.merged_long(text.encode()[:200]).tolist()
 
 
+def test_bpe_keeps_each_word_once():
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = ["", "qwzxv qwzxv, it's  qwzxv\n12345", " ", "qwzxv", "qwzxv," * 3, "\n\n x", "\u00df" * 300 + " qwzxv"]
+    for _ in range(2):
+        ids, offsets = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [own.encode_ordinary(t) for t in texts]
+    # A word is a number and a place among all ids, no array of its own; a piece that is one word has that place.
+    assert sorted(codec.words.values()) == list(range(len(codec.words)))
+    assert codec.starts[codec.chunk["qwzxv"]] == codec.word_starts[codec.words["qwzxv"]]
+
+
 def test_near_copies(docs, rows, nothing):
     sets = [shingles(t) for _, t, *_ in rows]
     group = list(range(len(rows)))
