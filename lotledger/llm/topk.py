@@ -139,7 +139,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         F.pmod("block", F.lit(groups)).cast("int").alias("together"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"),
         F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("block"),
     )
-    best = cand.join(asked, ["block", "together"]).select("q_ids", "q_columns", "ids", "columns").mapInArrow(
+    # Copies of the query blocks outgrow what is known of their size before; a broadcast would put them all into the driver.
+    best = cand.join(asked.hint("merge"), ["block", "together"]).select("q_ids", "q_columns", "ids", "columns").mapInArrow(
         _cells(k), "query_id long, query_row long, vec_id long, score long"
     )
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
