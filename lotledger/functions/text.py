@@ -17,8 +17,10 @@ SPACES = r"(?U)\s+"
 
 # What `html.unescape` takes for a character reference.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-NAMED = json.dumps(html5)
-# A map is searched entry by entry, so the usual names are compared first.
+# A map is searched entry by entry, so names have one for each first letter, and the usual names are compared first.
+NAMED = json.dumps([{n: c for n, c in html5.items() if n[0] == chr(k)} for k in range(ord("A"), ord("z") + 1)])
+# What a name can begin with; nothing else is looked up.
+NAME = "^&([A-Za-z][A-Za-z0-9]*;?)"
 USUAL = ["amp;", "quot;", "nbsp;", "lt;", "gt;", "apos;", "ldquo;", "rdquo;", "lsquo;", "rsquo;", "ndash;", "mdash;"]
 # Numbers that do not stand for the character of that number; those above, and surrogates, are no characters at all.
 ODD_NUMBERS = [*range(0xA0), 0xFEFF, *range(0xFDD0, 0xFDF0), *(p * 0x10000 + n for p in range(17) for n in (0xFFFE, 0xFFFF))]
@@ -44,19 +46,19 @@ def _numbered(reference: Column) -> Column:
 
 def _named(reference: Column) -> Column:
     """The character of a name, else of its longest beginning that is one, with the rest behind it; else the text as it is."""
-    name = F.substring(reference, 2, 40)
-    size = F.length(name)
+    name = F.regexp_extract(reference, NAME, 1)
+    listed = F.get(F.from_json(F.lit(NAMED), "array<map<string,string>>"), F.ascii(name) - ord("A"))
 
     def beginning(n: Column) -> Column:
-        found = F.try_element_at(_table(NAMED), F.substring(name, F.lit(1), n))
-        return F.concat(found, F.substring(name, n + 1, size))
+        found = F.try_element_at(listed, F.substring(name, F.lit(1), n))
+        return F.concat(found, F.substring(reference, n + 2, F.length(reference)))
 
-    shorter = F.when(size > 2, F.transform(F.sequence(size - 1, F.lit(2), F.lit(-1)), beginning))
-    known = F.get(F.filter(shorter, lambda t: t.isNotNull()), 0)
+    beginnings = F.when(F.length(name) > 1, F.transform(F.sequence(F.length(name), F.lit(2), F.lit(-1)), beginning))
+    known = F.get(F.filter(beginnings, lambda t: t.isNotNull()), 0)
     usual = F.lit(None).cast("string")
     for entry in reversed(USUAL):
         usual = F.when(reference == f"&{entry}", html5[entry]).otherwise(usual)
-    return F.coalesce(usual, F.try_element_at(_table(NAMED), name), known, reference)
+    return F.coalesce(usual, known, reference)
 
 
 def html_unescape(text: Column) -> Column:

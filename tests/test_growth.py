@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from html import unescape
+from html.entities import html5
 
 from pyspark.sql import functions as F
 from samples import LIST_ITEM
 
+from lotledger.functions.text import NAMED, html_unescape
 from lotledger.operators import list_items, tallies
 
 
@@ -37,3 +40,11 @@ def test_a_tally_parses_its_items_once(spark):
         "run_id": "string", "page": "bigint", "raw_item_count": "bigint", "parsed_lot_count": "bigint", "duplicate_count": "bigint",
         "skip_counts": "map<string,int>",
     }
+
+
+def test_names_are_looked_up_by_their_letter(spark):
+    texts = [f"a&{n}b" for n in html5] + ["&h=2", "&notit;x", "&resize=300&amp;b", "&q;", "&zwnjx", "&a", "&_x;", "&Z1;", "&ééé;", "&frac12x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    resolved = rows.select("t", html_unescape(F.col("t")).alias("u"))
+    assert isinstance(json.loads(NAMED), list) and max(len(part) for part in json.loads(NAMED)) < len(html5) // 10
+    assert [r for r in resolved.collect() if r.u != unescape(r.t)] == []
