@@ -7,10 +7,11 @@ from html import unescape
 from html.entities import html5
 
 from pyspark.sql import functions as F
-from samples import LIST_ITEM
+from samples import API_ITEM, LIST_ITEM
 
 from lotledger.functions.text import NAMED, html_unescape
 from lotledger.operators import list_items, tallies
+from lotledger.plans import ingest_queries
 
 
 def plan(df):
@@ -48,3 +49,24 @@ def test_names_are_looked_up_by_their_letter(spark):
     resolved = rows.select("t", html_unescape(F.col("t")).alias("u"))
     assert isinstance(json.loads(NAMED), list) and max(len(part) for part in json.loads(NAMED)) < len(html5) // 10
     assert [r for r in resolved.collect() if r.u != unescape(r.t)] == []
+
+
+def test_a_replay_reads_its_pages_once(spark, monkeypatch):
+    pages = [
+        ("two", "bring_a_trailer", json.dumps({"items": [LIST_ITEM, {**LIST_ITEM, "id": 2, "url": "https://x/2"}], "pages_total": 3})),
+        ("none", "bring_a_trailer", json.dumps({"items": []})), ("bad", "bring_a_trailer", "{"), ("lost", "bring_a_trailer", json.dumps({"items": [None]})),
+        ("c", "cars_and_bids", json.dumps({"auctions": [API_ITEM]})), ("c0", "cars_and_bids", json.dumps({"auctions": []})),
+    ]
+    rows = spark.createDataFrame(
+        [(i, s, "bat_api_completed_results" if s[0] == "b" else "search", f"https://x/{i}", "application/json", c) for i, s, c in pages],
+        "id string, source string, target_type string, url string, content_type string, content string",
+    ).withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    monkeypatch.setattr(ingest_queries.derived, "result_pages", lambda *_: rows)
+    monkeypatch.setattr(ingest_queries.derived, "captured_answers", lambda *_: rows.where("false"))
+    once, again = (ingest_queries._replayed(spark, "", both_sites=True, pages_again=p) for p in (True, False))
+    for part in ("parse_runs", "anomalies"):
+        found, wanted = (getattr(r, part) for r in (once, again))
+        assert {f.split("/")[-2] for f in found.inputFiles()} <= {"items", "identities"}
+        texts = lambda df: sorted(r.t for r in df.select(F.to_json(F.struct(*df.columns)).alias("t")).collect())
+        assert found.columns == wanted.columns and texts(found) == texts(wanted) != []
+    assert [r.status for r in once.parse_runs.where("raw_page_id = 'bad'").collect()] == ["error"]
